@@ -1,0 +1,128 @@
+"""The native operators against brute force, and on nulls, empty texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lumenframe.llm import fingerprints, line_dedup, mixing, pii
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, first string, key string"
+
+
+def docs(spark, texts, ids=None):
+    return spark.createDataFrame([(i, t, "en", "s" + str((i or 0) % 3), None, "x", "y") for i, t in zip(ids or range(len(texts)), texts)], SCHEMA)
+
+
+def brute_pii(text):
+    out = []
+    base = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    for o, (kind, rx) in enumerate(base):
+        for m in re.finditer(rx, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 14 <= len(d) <= 19 and luhn or kind == "phone" and 10 <= len(d) <= 15:
+                out.append((m.start(), o, kind, m.end()))
+    return sorted(out)
+
+
+def test_pii(spark, sf_dir):
+    odd = ["", None, "a@b.c_x@d.e é 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 and +1 (555) 010-9999.", "9" * 30000, "x" * 30000 + "@a.b", "IBAN DE89370400440532013000 ok", "ssn 123-45-6789", "a.b@c@d.e.f..g"]
+    frame = docs(spark, odd).select("doc_id", "text").union(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id") + 1000, "text"))
+    got = {r.doc_id: r for r in pii.digest(frame).collect()}
+    kinds = ("email", "ip", "card", "phone")
+    for r in frame.collect():
+        want = brute_pii(r.text or "")
+        g = got[r.doc_id]
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [sum(x[2] == k for x in want) for k in kinds], r.doc_id
+        assert g.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest()
+    assert "iban:5:27" in got[6].spans and "ssn:4:15" in got[7].spans
+    assert pii.mask_pii(docs(spark, ["to a@b.co now", None])).select("text").collect()[0][0] == "to <email> now"
+    assert pii.digest(frame.limit(0)).count() == 0
+
+
+def brute_lines(texts):
+    rows = [(i, n, re.sub(r"[\t\r]", " ", x).strip(" ")) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"))]
+
+    def near(a, b):
+        if a == b:
+            return True
+        if min(len(a), len(b)) < line_dedup.MIN_NEAR_CHARS or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    out = set()
+    for i, n, s in rows:
+        keeper = (i, n) if s == "" else min((j, m) for j, m, t in rows if t and near(s, t))
+        out.add((i, n, *keeper, keeper == (i, n)))
+    return out
+
+
+def test_lines(spark):
+    base = "The quick brown fox jumps over the lazy dog and then sleeps for a long time under the old tree by the river bank near town"
+    texts = [base, base[:50] + "X" + base[51:] + "\n\nshort", base[1:] + "\nshort", base + "!", None, "", "shert\n" + base[:-1], "a" * 300, "a" * 301 + "\n" + "a" * 302, "Page 1 of the long report\nPage 2 of the long report\nPage 11 of the long report", base * 30, (base * 30)[:1700] + (base * 30)[1701:], "\t" + base + "\r"]
+    got = {(r.doc_id, r.line_no, r.keeper_doc_id, r.keeper_line_no, r.kept) for r in line_dedup.digest(docs(spark, texts)).collect()}
+    assert got == brute_lines(texts)
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert left[0] == base and left[1] == "\nshort" and 2 not in left and left[4] is None and left[5] == ""
+    assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    assert line_dedup.digest(docs(spark, ["same text here", "same text here"], [None, None])).where("kept").count() == 2  # equal rows, equal decisions
+
+
+def brute_simhash(text):
+    return None
+
+
+def test_fingerprints(spark):
+    texts = ["one two three four five", "one two three four five", None, "", "é" * 7, "word " * 5000, "one two three four six"]
+    ids = [5, 900, 901, 70_000_000_000, 7, 8, 12]
+    rows = {r.doc_id: r for r in fingerprints.digest(docs(spark, texts, ids)).collect()}
+    order = sorted(zip(ids, texts))
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        t, u = t or "", u or ""
+        h = len(t) // 2
+        assert rows[i].n_chars == len(t)
+        assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + u[:h]).encode()).hexdigest(), i
+    assert rows[5].fingerprint == rows[900].fingerprint and rows[901].fingerprint == rows[70_000_000_000].fingerprint == "0" * 16
+    assert rows[901].near_next == 1.0 and rows[900].n_within >= 2 and rows[5].n_within is None
+    for i, r in rows.items():
+        assert abs(r.near_edited - (1 - bin(int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).count("1") / 64)) < 1e-12
+    assert fingerprints.digest(docs(spark, texts, ids).limit(0)).count() == 0
+    one = fingerprints.digest(docs(spark, ["just one"], [3])).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_radius_against_brute_force(spark):
+    import random
+
+    random.seed(3)
+    base = [random.getrandbits(64) for _ in range(60)]
+    fps = base + [b ^ sum(1 << x for x in random.sample(range(64), random.randint(0, 5))) for b in base for _ in range(6)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = {(r.q, r.fp): r.n for r in fingerprints.within_radius(frame, frame, 3).collect()}
+    want = {(a, b): signed.count(b) for a in signed for b in signed if bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    assert got == want
+
+
+def test_mixing(spark):
+    frame = docs(spark, [f"text {i}" for i in range(3000)] + [None, ""], [*range(3000), None, 7])
+    out = mixing.mix_sources(frame, weights={"s0": 1, "s1": 3}).cache()
+    assert out.where("source = 's2'").count() == 0
+    share = out.where("source = 's1'").count() / out.count()
+    assert 0.7 < share < 0.8
+    keys = [r.shuffle_key for r in out.collect()]
+    assert keys == sorted(keys)
+    assert mixing.mix_sources(frame.limit(0)).count() == 0
+    assert set(out.columns) == {*frame.columns, "copy_no", "shuffle_key"}
+    again = mixing.mix_sources(frame, weights={"s0": 1, "s1": 3})
+    assert again.exceptAll(out).count() == 0
+    wide, mixing.BROADCAST_SOURCES = mixing.BROADCAST_SOURCES, 0
+    try:
+        assert mixing.mix_sources(frame, weights={"s0": 1, "s1": 3}).exceptAll(out).count() == 0
+    finally:
+        mixing.BROADCAST_SOURCES = wide
