@@ -45,22 +45,24 @@ FULL, UNSURE = 1, 2
 class Anchors:
     """Anchors of the texts of one group, and their different (gram, context) pairs, always in the same order."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], parts: int) -> None:
+    def __init__(self, ids: np.ndarray, texts: list[bytes], parts: int, chunk: int = 1 << 20) -> None:
         self.buf = np.frombuffer(b"".join(texts) or b"\0", dtype=np.uint8)
         size = np.array([len(t) for t in texts], dtype=np.int64)
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
         self.rank = np.unique(ids, return_inverse=True)[1]
-        found = [self._anchors(s, e) for s, e in zip(self.starts, self.ends, strict=True) if e - s >= LENGTH]
-        self.at = np.concatenate([f[0] for f in found] or [np.empty(0, np.int64)])
-        self.low = np.concatenate([f[1] for f in found] or [np.empty(0, np.int64)])
-        self.high = np.concatenate([f[2] for f in found] or [np.empty(0, np.int64)])
-        gram, left, right, context = (np.concatenate([f[k] for f in found] or [np.empty(0, U)]) for k in (3, 4, 5, 6))
-        text = np.searchsorted(self.ends, self.at, side="right")
+        found, i = [], 0
+        while i < len(size):  # whole texts, about a megabyte at a time
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + chunk, side="right")))
+            if self.ends[j - 1] - self.starts[i] >= LENGTH:
+                found.append(self._anchors(i, j))
+            i = j
+        none = np.empty(0, np.int64)
+        self.at, self.low, self.high, text, self.begin, self.end = (np.concatenate([f[k] for f in found] or [none]) for k in range(6))
+        gram, context, left, right = (np.concatenate([f[k] for f in found] or [none.astype(U)]) for k in range(6, 10))
         self.doc = self.rank[text]
-        self.begin, self.end = np.maximum(self.at - SIDE, self.starts[text]), np.minimum(self.at + LENGTH, self.ends[text])
-        part = (gram % U(parts)).astype(np.int64)
-        order = np.lexsort((self.doc, context, gram, part))
+        # The part follows from the gram's high bits, so this order is by part too; equal pairs stay in document order.
+        order = np.lexsort((context, gram))
         g, c, d = gram[order], context[order], self.doc[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
@@ -68,41 +70,46 @@ class Anchors:
         self.entry = np.empty(len(order), dtype=np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.low_doc = d[first]
-        self.one = order[first]  # an occurrence in the smallest document
-        self.several = np.maximum.reduceat(d, first) > self.low_doc if len(first) else np.empty(0, bool)
+        self.one = o = order[first]  # an occurrence in the smallest document
+        several = d[np.append(first[1:], len(d)) - 1] > self.low_doc if len(first) else np.empty(0, bool)
         out = np.zeros(len(first), dtype=ENTRIES)
-        o = order[first]
-        out["a"], out["c0"], out["c1"] = gram[o] >> U(32), context[o] >> U(32), (context[o] >> U(16)) & U(0xFFFF)
-        out["doc"] = self.low_doc | (self.several.astype(np.int64) << 15)
+        out["a"], out["c0"], out["c1"] = gram[o] & U(0xFFFFFFFF), context[o] >> U(32), (context[o] >> U(16)) & U(0xFFFF)
+        out["doc"] = self.low_doc | (several.astype(np.int64) << 15)
         out["l"], out["r"] = left[o], right[o]
-        self.entries, self.part = out, part[o]
+        self.entries, self.part = out, ((gram[o] >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
-    def _anchors(self, s: int, e: int) -> tuple[np.ndarray, ...]:
-        t = self.buf[s:e]
-        n = e - s
+    def _anchors(self, i: int, j: int) -> tuple[np.ndarray, ...]:
+        s, e = int(self.starts[i]), int(self.ends[j - 1])
+        t, n = self.buf[s:e], e - s
+        starts, ends = self.starts[i:j] - s, self.ends[i:j] - s
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, dtype=U)
         np.cumsum((t.astype(U) + U(1)) * up[:n], out=sums[1:])
         grams = n - GRAM + 1
         h = scramble((sums[GRAM:] - sums[:grams]) * down[:grams])
-        v = (h & ~U(POSITION)) | np.arange(grams, dtype=U)
-        m, span = v, 1
+        m, span = (h & ~U(POSITION)) | np.arange(grams, dtype=U), 1
         while span * 2 <= WINDOW:
             m = np.minimum(m[:-span], m[span:])
             span *= 2
         if span < WINDOW:
             m = np.minimum(m[: len(m) - (WINDOW - span)], m[WINDOW - span :])
-        at = (m & U(POSITION)).astype(np.int64)  # of the string that starts at each place
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        a = at[first]
+        inside = np.zeros(n + 1, dtype=np.int8)  # places where a string of a text starts that ends in it
+        long = ends - starts >= LENGTH
+        inside[starts[long]] = 1
+        inside[ends[long] - LENGTH + 1] -= 1
+        valid = np.flatnonzero(np.cumsum(inside[: len(m)], dtype=np.int8))
+        at = (m[valid] & U(POSITION)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
+        a, low, high = at[first], valid[first], valid[np.append(first[1:], len(at)) - 1] if len(at) else at
+        text = np.searchsorted(ends, a, side="right")
+        top, tail = starts[text], ends[text]
         hashed = lambda b, x: scramble((sums[x] - sums[b]) * down[b] + (x - b).astype(U))
-        begin, end = np.maximum(a - SIDE, 0), np.minimum(a + LENGTH, n)
-        low16 = lambda x, has: np.where(has, (x & U(0xFFFE)) + U(1), U(0))
-        left = low16(hashed(np.maximum(a - HALF, 0), a + GRAM), a >= HALF)
-        right = low16(hashed(a, np.minimum(a + GRAM + HALF, n)), a + GRAM + HALF <= n)
+        begin, end = np.maximum(a - SIDE, top), np.minimum(a + LENGTH, tail)
+        short = lambda x, has: np.where(has, (x & U(0xFFFE)) + U(1), U(0))
+        left = short(hashed(np.maximum(a - HALF, top), a + GRAM), a - HALF >= top)
+        right = short(hashed(a, np.minimum(a + GRAM + HALF, tail)), a + GRAM + HALF <= tail)
         context = scramble(hashed(begin, end) + (a - begin).astype(U) * U(0x9E3779B97F4A7C15))
-        high = np.append(first[1:], len(at)) - 1
-        return a + s, first + s, high + s, h[a], left, right, context
+        return a + s, low + s, high + s, text + i, begin + s, end + s, h[a], context, left, right
 
 
 def _group(key: tuple, docs: pd.DataFrame, parts: int) -> Anchors:
@@ -202,14 +209,12 @@ def _repeats(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     owner = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
     n = h["n"].astype(np.int64)
     wide = SIDE + LENGTH + 1
-    text = np.zeros((len(h), wide), dtype=np.int64)
-    text[:, :-1] = np.where(np.arange(wide - 1) < n[:, None], raw.astype(np.int64) + 1, 0)
+    text = np.zeros((len(h), wide), dtype=np.uint16)
+    text[:, :-1] = np.where(np.arange(wide - 1) < n[:, None], raw.astype(np.uint16) + np.uint16(1), np.uint16(0))
     text = text.ravel()
     sa = suffix_array(text)
-    shared = common_prefixes(text, sa, 63)
-    where = np.arange(len(text))
-    room = where % wide + LENGTH <= np.repeat(n, wide)
-    joins = shared[sa] >= LENGTH
+    room = (np.arange(wide) + LENGTH <= n[:, None]).ravel()  # where a whole string starts
+    joins = common_prefixes(text, sa, 63, room)[sa] >= LENGTH
     run = np.cumsum(~joins) - 1
     order = (owner * (1 << 15) + h["doc"])[sa // wide]
     usable = room[sa]
@@ -231,11 +236,11 @@ def _remove(parts: int) -> Callable:
         docs = _sorted(docs)
         x = _group(key, docs, parts)
         flags = _flags(x, told)
-        mark = np.zeros(len(x.buf) + 1, dtype=np.int32)
         later = x.doc > x.low_doc[x.entry] if len(x.entry) else np.empty(0, bool)
         whole = (flags[x.entry] & FULL > 0) | later
-        np.add.at(mark, x.low[whole], 1)
-        np.add.at(mark, x.high[whole] + 1, -1)
+        mark = np.zeros(len(x.buf) + 1, dtype=np.int32)
+        mark[x.low[whole]] += 1  # each place is the low or the high end of one anchor only
+        mark[x.high[whole] + 1] -= 1
         begins = np.cumsum(mark[:-1]) > 0
         masks = np.zeros(len(x.entries), dtype=U)
         for b in told.loc[told["kind"] == 1, "data"]:
@@ -248,8 +253,8 @@ def _remove(parts: int) -> Callable:
             begins[x.begin[some][i] + k] = True
         cover = np.zeros(len(x.buf) + LENGTH + 1, dtype=np.int32)
         at = np.flatnonzero(begins)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + LENGTH, -1)
+        cover[at] += 1
+        cover[at + LENGTH] -= 1
         gone = np.cumsum(cover)[: len(x.buf)] > 0
         out = []
         for doc_id, s, e in zip(docs["doc_id"], x.starts, x.ends, strict=True):
@@ -270,7 +275,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     doc_id is earlier than all others. Further columns are not read.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = 2 * shuffle_partitions(spark)
     rows = docs.select("doc_id", "text", F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62))).alias("bucket"))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     sent = rows.groupBy("bucket").applyInPandas(_send(parts), "part int, bucket long, first long, entries binary")

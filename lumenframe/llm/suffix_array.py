@@ -30,9 +30,9 @@ def _smaller(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the end of the string is the smallest suffix."""
     n = len(t)
     step = np.zeros(n, dtype=np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int64) - t[:-1])
+    step[:-1] = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
     step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     nxt = np.minimum.accumulate(at[::-1])[::-1]
     return step[nxt] > 0
 
@@ -40,18 +40,17 @@ def _smaller(t: np.ndarray) -> np.ndarray:
 def _place(sa: np.ndarray, ptr: np.ndarray, items: np.ndarray, chars: np.ndarray, up: bool) -> None:
     """Append items to the front (or back) of the bucket of their character, in their order."""
     order = np.argsort(chars, kind="stable")
-    items, chars = items[order], chars[order]
-    kinds, first, count = np.unique(chars, return_index=True, return_counts=True)
-    inside = np.arange(len(chars)) - np.repeat(first, count)
-    base = np.repeat(ptr[kinds], count)
-    sa[base + inside if up else base - 1 - inside] = items
-    ptr[kinds] += count if up else -count
+    count = np.bincount(chars, minlength=len(ptr))
+    inside = np.arange(len(chars)) - np.repeat(np.cumsum(count) - count, count)
+    base = np.repeat(ptr, count)
+    sa[base + inside if up else base - 1 - inside] = items[order]
+    ptr += count if up else -count
 
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The suffix array given the LMS suffixes in order (or, from any order of their first characters, sorted LMS substrings)."""
     n, k = len(t), len(edges) - 1
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
     chars = t[lms]
     order = np.argsort(chars, kind="stable")
     seeds = lms[order]
@@ -98,7 +97,7 @@ def _doubling(names: np.ndarray) -> np.ndarray:
         nxt = np.zeros(n, dtype=np.int64)
         nxt[: max(0, n - h)] = rank[h:] + 1
         key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.zeros(n, dtype=np.int64)
         new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
         if new[order[-1]] == n - 1:
@@ -111,7 +110,7 @@ def suffix_array(t: np.ndarray, alphabet: int = 257) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n)
-    t = t.astype(np.int64)
+    t = t.astype(np.uint16)  # stable sorts of 16-bit numbers are radix sorts
     small = _smaller(t)
     edges = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=alphabet))))
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
@@ -132,19 +131,23 @@ def suffix_array(t: np.ndarray, alphabet: int = 257) -> np.ndarray:
     return _induce(t, small, lms, edges)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: at i, how much suffix i shares with the one before it in ``sa``, up to ``most`` (a power of two less one, or counted up to it)."""
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, where: np.ndarray | None = None) -> np.ndarray:
+    """Permuted: at i, how much suffix i shares with the one before it in ``sa``, counted up to ``most``, one less than a power of two.
+
+    With ``where``, a mask, only at its places; elsewhere 0.
+    """
     n = len(t)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
-    sums, shared = prefix_sums(t), np.zeros(n, dtype=np.int64)
-    live = np.flatnonzero(before >= 0)
-    step = 1 << (most.bit_length() - 1)
+    sums, shared = prefix_sums(t), np.zeros(n, dtype=np.int32)
+    live = np.flatnonzero(before >= 0 if where is None else where & (before >= 0))
+    other, found = before[live].astype(np.int64), np.zeros(len(live), dtype=np.int64)
+    step = (most + 1) // 2
     while step:
-        a, b = live + shared[live], before[live] + shared[live]
+        a, b = live + found, other + found
         fits = np.maximum(a, b) + step <= n
-        same = np.zeros(len(live), dtype=bool)
-        same[fits] = range_hash(sums, a[fits], step) == range_hash(sums, b[fits], step)
-        shared[live[same]] += step
+        a, b = np.where(fits, a, 0), np.where(fits, b, 0)
+        found += step * (fits & (range_hash(sums, a, step) == range_hash(sums, b, step)) if step <= n else 0)
         step >>= 1
+    shared[live] = found
     return shared
