@@ -27,7 +27,7 @@ STEP = 1.25
 def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("dkey"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("norm", F.trim(F.regexp_replace("line", r"[\t\r]", " ")))
+    rows = rows.withColumn("norm", F.trim(F.replace(F.replace("line", F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))))
     return rows.select("doc_id", "dkey", "line_no", "norm", F.char_length("norm").alias("n"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), F.col("norm")).alias("h2"))
 
 
@@ -65,10 +65,13 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(several, "key", "left_semi")
 
 
-def near_links(uniq: DataFrame) -> DataFrame:
-    """(h1, h2, near): of each line with others within one edit, the earliest occurrence of any of those."""
+def near_links(uniq: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h1, h2, near): of each line with others within one edit, the earliest occurrence of any of those.
+
+    ``uniq`` is read twice with the same columns, so its shuffle, the only one that moves all text, is made once.
+    """
     cand = _shared(_first_keys(uniq))
-    mids = uniq.join(cand, ["h1", "h2"]).select("h1", "h2", "first", "key", F.substring("norm", F.col("i") * F.col("w") + 1, F.char_length("norm") - 2 * F.col("w")).alias("mid"))
+    mids = uniq.join(cand, ["h1", "h2"]).join(firsts, ["h1", "h2"]).select("h1", "h2", "first", "key", F.substring("norm", F.col("i") * F.col("w") + 1, F.char_length("norm") - 2 * F.col("w")).alias("mid"))
     m = F.char_length("mid")
     parts = lambda n: (_block(n), F.greatest(F.floor(n / _block(n)), F.lit(1)).cast("int"))
     (w, k), (v, l) = parts(m), parts(m + 1)
@@ -100,9 +103,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
     real = lines.where("n > 0")
     here = F.struct("doc_id", "dkey", "line_no")
     long = real.where(F.col("n") >= MIN_NEAR_CHARS)
-    uniq = long.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.first("norm").alias("norm"))
-    links = near_links(uniq)
+    uniq = long.groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
     firsts = real.groupBy("h1", "h2").agg(F.min(here).alias("first"))
+    links = near_links(uniq, firsts)
     classes = firsts.join(links, ["h1", "h2"], "left")
     best = F.least("first", F.coalesce("near", "first"))
     classes = classes.select("h1", "h2", best.alias("keeper"))
