@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 
 #: Shorter lines are only compared for equality: one edit in them is a large change.
 MIN_NEAR_CHARS = 16
@@ -71,19 +71,22 @@ def near_links(uniq: DataFrame, firsts: DataFrame) -> DataFrame:
     ``uniq`` is read twice with the same columns, so its shuffle, the only one that moves all text, is made once.
     """
     cand = _shared(_first_keys(uniq))
-    mids = uniq.join(cand, ["h1", "h2"]).join(firsts, ["h1", "h2"]).select("h1", "h2", "first", "key", F.substring("norm", F.col("i") * F.col("w") + 1, F.char_length("norm") - 2 * F.col("w")).alias("mid"))
+    mids = uniq.join(cand, ["h1", "h2"]).select("h1", "h2", "key", F.substring("norm", F.col("i") * F.col("w") + 1, F.char_length("norm") - 2 * F.col("w")).alias("mid"))
     m = F.char_length("mid")
     parts = lambda n: (_block(n), F.greatest(F.floor(n / _block(n)), F.lit(1)).cast("int"))
     (w, k), (v, l) = parts(m), parts(m + 1)
     blocks = F.when((w == v) & (k == l), _gapped(F.col("mid"), m, w, k, F.col("key"))).otherwise(F.concat(_gapped(F.col("mid"), m, w, k, F.col("key")), _gapped(F.col("mid"), m, v, l, F.col("key"))))
-    blocks = _shared(mids.select("h1", "h2", "first", F.explode(blocks).alias("b")).select("h1", "h2", "first", "b.*"))
+    blocks = cut(_shared(mids.select("h1", "h2", F.explode(blocks).alias("b")).select("h1", "h2", "b.*")))
     b, n = F.col("mid"), F.char_length("mid")
     gone = lambda i: F.xxhash64(F.col("key"), F.concat(F.left(b, i - 1), F.substring(b, i + 1, n)))
     deletions = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array(F.struct(F.xxhash64(gone(i), i).alias("v"), F.lit(1).alias("d")), F.struct(F.xxhash64(gone(i), F.lit(0)).alias("v"), F.lit(2).alias("d"))))))
     whole = F.array(F.struct(F.xxhash64(F.xxhash64("key", "mid"), F.lit(0)).alias("v"), F.lit(0).alias("d")))
-    variants = blocks.select("h1", "h2", "first", "mid", F.explode(F.concat(whole, F.coalesce(deletions, F.array().cast("array<struct<v:bigint,d:int>>")))).alias("x")).select("h1", "h2", "first", "mid", "x.*")
+    variants = blocks.select("h1", "key", F.explode(F.concat(whole, F.coalesce(deletions, F.array().cast("array<struct<v:bigint,d:int>>")))).alias("x")).select("h1", "key", "x.*")
     # A group holds the lines that differ in one character at one place, so it is bounded by the alphabet, not by the data.
+    # Its rows are three numbers; texts and places are fetched for the few groups of two lines and more.
     group = Window.partitionBy("v")
+    several = variants.withColumn("lo", F.min("h1").over(group)).withColumn("hi", F.max("h1").over(group)).where("lo <> hi").drop("lo", "hi")
+    variants = several.join(blocks, ["h1", "key"]).join(firsts, ["h1", "h2"])
     of = lambda d: F.min(F.when(F.col("d") == d, F.struct("first", "mid"))).over(group)
     met = variants.select("h1", "h2", "first", "mid", "d", of(0).alias("s0"), of(1).alias("s1"), of(2).alias("s2"))
     other = F.when(F.col("d") == 1, F.col("s1")).when(F.col("d") == 2, F.col("s0")).otherwise(F.col("s2"))
