@@ -3,10 +3,12 @@
 Documents with equal shingle sets are one class first, represented by the smallest doc_id. Each class gets one pass over
 its shingles: the hash's high bits choose a bin, each bin keeps its smallest hash, and an empty bin borrows from the bin
 that its own probing sequence finds first. Forty bands of four bins find a pair at the threshold of 0.75 but for a chance
-of about 3 in 10 million. In a bucket of a few classes all pairs are candidates; in a larger one each class is paired
-with the smallest only. Candidates are confirmed on the full sets. Members of large buckets that turn out not to be near
-the centre are compared with the rest of their bucket, except where the triangle inequality of the Jaccard distance
-already rules a link out, so large buckets lose no link either.
+of about 3 in 10 million. In a bucket of a few classes
+all pairs are candidates. In a larger one each class is paired with a centre, chosen by hash for each bucket, so that a
+family that shares many buckets is held against many of its members. Candidates are confirmed on the full sets. Where a
+large bucket still holds several components, its members outside the component of a new centre are held against that one,
+round after round until a round finds no link. Each round is linear in the bucket. A link inside a large bucket can only
+be missed if neither of its ends was near any centre drawn from the other's component.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .shingles import U, scramble, shingle_sets
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 THRESHOLD = 75  # per cent
-ALL_PAIRS_UP_TO = 8
+ALL_PAIRS_UP_TO, MOST_ROUNDS = 8, 12
 #: Up to so many ids (8 bytes each), the ids of classes to confirm are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 PROBES = 2048
@@ -87,7 +89,7 @@ def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, d) of each pair: the Jaccard distance of their full sets."""
+    """(a, b, near) of each pair, by their full sets."""
     pairs = cut(pairs)
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     few = wanted.count() <= BROADCAST_IDS
@@ -97,27 +99,33 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     counted = two.mapInPandas(_common, "a long, b long, na long, nb long, both long")
     near = F.col("both") * 100 >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("both"))
-    return cut(counted.select("a", "b", near.alias("near"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d")))
+    return cut(counted.select("a", "b", near.alias("near")))
 
 
 def near_edges(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of classes (doc_id, n, keys) whose sets are near. ``docs`` has one text for each doc_id of a class."""
     keyed = classes.select("doc_id", "n", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("low")).where("size > 1")
-    met = cut(keyed.join(sizes, "key").select("key", "size", "low", "doc_id", "n"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("centre")).where("size > 1")
+    met = cut(keyed.join(sizes, "key").select("key", "size", "centre", "doc_id", "n"))
     few = met.where(F.col("size") <= ALL_PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("m"))
     few = few.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, ALL_PAIRS_UP_TO)).alias("y"))
     may = lambda n, k: F.least(n, k) * 100 >= THRESHOLD * F.greatest(n, k)
     few = few.where(may(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     large = met.where(F.col("size") > ALL_PAIRS_UP_TO)
-    stars = large.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    stars = large.where("doc_id <> centre").select(*pair("centre", "doc_id"))
     told = _confirm(few.unionByName(stars).distinct(), docs)
-    ranged = large.join(told.select(F.col("a").alias("low"), F.col("b").alias("doc_id"), "near", "d"), ["low", "doc_id"])
-    apart = ranged.where("not near").select("key", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"))
-    slack = 1 - THRESHOLD / 100 + 1e-9
-    rest = ranged.join(apart, "key").where((F.col("y") != F.col("doc_id")) & (F.abs(F.col("d") - F.col("dy")) <= slack) & may(F.col("n"), F.col("ny")))
-    rest = rest.select(F.least("y", "doc_id").alias("a"), F.greatest("y", "doc_id").alias("b")).distinct().join(told, ["a", "b"], "left_anti")
-    return told.where("near").unionByName(_confirm(rest, docs).where("near")).select("a", "b")
+    for turn in range(MOST_ROUNDS):
+        labels = components(told.where("near"), "a", "b")
+        open_ = large.join(labels, large["doc_id"] == labels["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+        drawn = F.min_by(F.struct("doc_id", "label", "n"), F.xxhash64("doc_id", "key", F.lit(turn)))
+        split = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), drawn.alias("c")).where("lo <> hi").select("key", "c")
+        rest = open_.join(split, "key").where((F.col("label") != F.col("c.label")) & may(F.col("n"), F.col("c.n"))).select(*pair("doc_id", "c.doc_id")).distinct()
+        fresh = _confirm(rest.join(told, ["a", "b"], "left_anti"), docs)
+        told = told.unionByName(fresh)
+        if not fresh.where("near").limit(1).count():
+            break
+    return told.where("near").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
