@@ -51,7 +51,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return scramble((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U)), np.searchsorted(ends_of_text, starts, side="right")
 
 
-def shingle_sets(texts: list[str | None], chunk: int = 1 << 21) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], chunk: int = 1 << 19) -> list[np.ndarray]:
     """Each text's distinct shingles, ascending: of five words, or of all its words if it has fewer; without words, none."""
     out: list[np.ndarray] = []
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]

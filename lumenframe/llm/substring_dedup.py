@@ -45,7 +45,7 @@ FULL, UNSURE = 1, 2
 class Anchors:
     """Anchors of the texts of one group, and their different (gram, context) pairs, always in the same order."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], parts: int, chunk: int = 1 << 20) -> None:
+    def __init__(self, ids: np.ndarray, texts: list[bytes], parts: int, chunk: int = 1 << 19) -> None:
         self.buf = np.frombuffer(b"".join(texts) or b"\0", dtype=np.uint8)
         size = np.array([len(t) for t in texts], dtype=np.int64)
         self.ends = np.cumsum(size)
