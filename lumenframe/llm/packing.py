@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ END = np.array([0], dtype="<u4").tobytes()
 #: Pieces of a kind are numbered in so many shards, each in one task, joined by the shards' counts.
 SHARDS = 256
 #: Distinct words whose ids a worker keeps; the table starts anew when full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 
 #: A space beside other white space, where the plain cut is not safe; and the spaces where it is.
 ODD_SPACE, SAFE_SPACE = re.compile(r"\s | \s"), re.compile(r"(?<=\S) (?=\S)")
@@ -61,7 +62,8 @@ def token_bytes(encode: Callable[[str], list[int]]) -> Callable[[str], bytes]:
     seen: dict[str, bytes] = {}
 
     def part(p: str) -> bytes:
-        got = np.array(encode(p), dtype="<u4").tobytes()
+        ids = encode(p)
+        got = struct.pack(f"<{len(ids)}I", *ids)
         if len(p) <= 40:
             if len(seen) >= CACHED_WORDS:
                 seen.clear()
