@@ -30,6 +30,8 @@ THRESHOLD = 75  # per cent
 ALL_PAIRS_UP_TO, MOST_ROUNDS = 8, 12
 #: Up to so many ids (8 bytes each), the ids of classes to confirm are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Characters whose shingle sets a worker returns at a time.
+TEXT_AT_ONCE = 4 << 20
 PROBES = 2048
 _rng = np.random.default_rng(20_17)
 PROBE = _rng.integers(0, BINS, (BINS, PROBES), dtype=np.int16)
@@ -59,8 +61,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return scramble((sig.reshape(BANDS, ROWS) * BIN_FACTORS).sum(axis=1, dtype=U) + np.arange(BANDS, dtype=U)).view(np.int64)
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _by_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in runs of a few megabytes of text, so that a worker never holds the sets of a whole batch."""
     for batch in batches:
+        for _, some in batch.groupby(batch["text"].str.len().fillna(0).cumsum() // TEXT_AT_ONCE, sort=False):
+            yield some
+
+
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in _by_text(batches):
         sets = shingle_sets(list(batch["text"]))
         yield pd.DataFrame(
             {
@@ -74,7 +83,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _by_text(batches):
         yield pd.DataFrame({"doc_id": batch["doc_id"], "s": [s.tobytes() for s in shingle_sets(list(batch["text"]))]})
 
 
