@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lumenframe.llm import fingerprints, line_dedup, mixing, pii
@@ -74,7 +74,14 @@ def test_lines(spark):
 
 
 def brute_simhash(text):
-    return None
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    votes = [0] * 64
+    for a, b in zip(words, [*words[1:], ""]):
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        h = xxhash.xxh64_intdigest(b.encode(), h) if b else h
+        for bit in range(64):
+            votes[bit] += (len(a) + len(b)) * (1 if h >> bit & 1 else -1)
+    return format(sum(1 << bit for bit in range(64) if votes[bit] > 0), "016x")
 
 
 def test_fingerprints(spark):
@@ -86,6 +93,7 @@ def test_fingerprints(spark):
         t, u = t or "", u or ""
         h = len(t) // 2
         assert rows[i].n_chars == len(t)
+        assert rows[i].fingerprint == brute_simhash(t) and rows[i].edited_fingerprint == brute_simhash(t[: len(t) - h] + u[:h])
         assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + u[:h]).encode()).hexdigest(), i
     assert rows[5].fingerprint == rows[900].fingerprint and rows[901].fingerprint == rows[70_000_000_000].fingerprint == "0" * 16
     assert rows[901].near_next == 1.0 and rows[900].n_within >= 2 and rows[5].n_within is None
