@@ -180,13 +180,6 @@ def feature(payload: bytes, media: list[tuple[int, int, str]]) -> str:
     return "|".join([",".join(f"{k}@{a}+{n}" for a, n, k in media), f"{mean:.6f}", f"{power**0.5:.6f}", str(turns), ",".join(map(str, shares))])
 
 
-def _typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [sniff(b or b"") for b in batch["_content"]]
-        whole = [next((k for a, n, k in m if a == 0), None) for m in found]
-        yield pd.DataFrame({"_row": batch["_row"], "media_type": whole, "media": [[{"at": a, "length": n, "type": k} for a, n, k in m] for m in found]})
-
-
 def type_media(rows: DataFrame, content: str, declared: str | None = None) -> DataFrame:
     """``rows`` with ``media_type`` (by the bytes at the start; else the declared one), ``type_corrected`` and ``media``, the carved list.
 
