@@ -4,20 +4,21 @@ Documents with equal shingle sets are one class first, represented by the smalle
 its shingles: the hash's high bits choose a bin, each bin keeps its smallest hash, and an empty bin borrows from the bin
 that its own probing sequence finds first. Forty bands of four bins find a pair at the threshold of 0.75 but for a chance
 of about 3 in 10 million. In a bucket of a few classes
-all pairs are candidates. In a larger one each class is paired with a centre, chosen by hash for each bucket, so that a
-family that shares many buckets is held against many of its members. Candidates are confirmed on the full sets. Where a
-large bucket still holds several components, its members outside the component of a new centre are held against that one,
-round after round until a round finds no link. Each round is linear in the bucket. A link inside a large bucket can only
-be missed if neither of its ends was near any centre drawn from the other's component.
+all pairs are candidates. In a larger one each class is paired with a centre, the same one in most buckets of a family.
+Candidates are confirmed on the full sets. Where a large bucket still holds several components, members outside its
+largest component are drawn, some and then ever more of them, and held against all members of other components; a drawn
+member leaves the bucket, as nothing in it is left to compare. A bucket is done when one component remains, so no pair in
+a bucket is passed over unless its ends are linked already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -27,7 +28,13 @@ from .shingles import U, scramble, shingle_sets
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 THRESHOLD = 75  # per cent
-ALL_PAIRS_UP_TO, MOST_ROUNDS = 8, 12
+ALL_PAIRS_UP_TO = 8
+#: Members drawn from a large bucket in the first round, and how many times as many in each later one.
+DRAWN, MORE = 8, 16
+#: Longs of the bit map of a class: bit h modulo 512 is set for each shingle h. It bounds how many shingles two sets can share.
+LONGS = 8
+#: Members of a large bucket that one task compares with the drawn ones.
+SLICE = 256
 #: Up to so many ids (8 bytes each), the ids of classes to confirm are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Characters whose shingle sets a worker returns at a time.
@@ -61,6 +68,29 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return scramble((sig.reshape(BANDS, ROWS) * BIN_FACTORS).sum(axis=1, dtype=U) + np.arange(BANDS, dtype=U)).view(np.int64)
 
 
+def bit_map(found: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * LONGS, dtype=bool)
+    bits[found % U(64 * LONGS)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def flat(side: str) -> list[Column]:
+    """n and the longs of bits as columns of their own, named after the side of a join."""
+    return [F.col("n").alias(f"{side}n"), *(F.col("bits")[i].alias(f"{side}{i}") for i in range(LONGS))]
+
+
+def may_be_near(x: str, y: str) -> Column:
+    """False only for pairs that cannot be near: too few shingles of the larger set, or too many bits that the other one lacks.
+
+    Sets with nx and ny shingles and the wanted similarity share at least 75 (nx + ny) / 175 of them, so the rest of either
+    set, and with it the bits that only this one has, is bounded.
+    """
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+    only = lambda x, y: reduce(Column.__add__, [F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(LONGS)])
+    fits = lambda n, x, y: (n - only(x, y)) * (100 + THRESHOLD) >= THRESHOLD * (nx + ny)
+    return (F.least(nx, ny) * 100 >= THRESHOLD * F.greatest(nx, ny)) & fits(nx, x, y) & fits(ny, y, x)
+
+
 def _by_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The batches in runs of a few megabytes of text, so that a worker never holds the sets of a whole batch."""
     for batch in batches:
@@ -77,6 +107,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "n": [len(s) for s in sets],
                 "s1": [int(scramble(s).sum(dtype=U).view(np.int64)) for s in sets],
                 "s2": [int(scramble(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64)) for s in sets],
+                "bits": [bit_map(s) for s in sets],
                 "keys": [band_keys(signature(s)) if len(s) else np.empty(0, np.int64) for s in sets],
             }
         )
@@ -112,9 +143,9 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_edges(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of classes (doc_id, n, keys) whose sets are near. ``docs`` has one text for each doc_id of a class."""
+    """(a, b) of classes (doc_id, n, bits, keys) whose sets are near. ``docs`` has one text for each doc_id of a class."""
     keyed = classes.select("doc_id", "n", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("centre")).where("size > 1")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("centre")).where("size > 1")
     met = cut(keyed.join(sizes, "key").select("key", "size", "centre", "doc_id", "n"))
     few = met.where(F.col("size") <= ALL_PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("m"))
     few = few.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, ALL_PAIRS_UP_TO)).alias("y"))
@@ -124,16 +155,21 @@ def near_edges(classes: DataFrame, docs: DataFrame) -> DataFrame:
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     stars = large.where("doc_id <> centre").select(*pair("centre", "doc_id"))
     told = _confirm(few.unionByName(stars).distinct(), docs)
-    for turn in range(MOST_ROUNDS):
+    left, drawn = large.select("key", "doc_id").join(classes.select("doc_id", "n", "bits"), "doc_id"), DRAWN
+    while True:
         labels = components(told.where("near"), "a", "b")
-        open_ = large.join(labels, large["doc_id"] == labels["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
-        drawn = F.min_by(F.struct("doc_id", "label", "n"), F.xxhash64("doc_id", "key", F.lit(turn)))
-        split = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), drawn.alias("c")).where("lo <> hi").select("key", "c")
-        rest = open_.join(split, "key").where((F.col("label") != F.col("c.label")) & may(F.col("n"), F.col("c.n"))).select(*pair("doc_id", "c.doc_id")).distinct()
-        fresh = _confirm(rest.join(told, ["a", "b"], "left_anti"), docs)
-        told = told.unionByName(fresh)
-        if not fresh.where("near").limit(1).count():
+        left = left.join(labels, left["doc_id"] == labels["node"], "left").select("key", "doc_id", "n", "bits", F.coalesce("component", "doc_id").alias("label"))
+        sizes = left.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key")
+        sizes = sizes.agg(F.max(F.struct("m", "label"))["label"].alias("largest"), (F.sum("m") - F.max("m")).alias("others"), F.ceil(F.sum("m") / SLICE).alias("slices")).where("others > 0")
+        chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+        left = cut(left.join(sizes, "key").withColumn("drawn", (F.col("label") != F.col("largest")) & (chance * F.col("others") < drawn)))
+        if not left.limit(1).count():
             break
+        centres = left.where("drawn").select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc_id").alias("centre"), F.col("label").alias("of"), *flat("y"))
+        members = left.select("key", F.pmod(F.xxhash64("doc_id"), "slices").alias("slice"), "doc_id", "label", *flat("x"))
+        rest = members.join(centres, ["key", "slice"]).where((F.col("label") != F.col("of")) & may_be_near("x", "y")).select(*pair("doc_id", "centre")).distinct()
+        told = told.unionByName(_confirm(rest.join(told, ["a", "b"], "left_anti"), docs))
+        left, drawn = left.where("not drawn").select("key", "doc_id", "n", "bits"), drawn * MORE
     return told.where("near").select("a", "b")
 
 
@@ -144,13 +180,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     that share one, a single text counts. A null doc_id is left out. Further columns are not read.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    sketches = cut(docs.mapInPandas(_sketches, "doc_id long, n long, s1 long, s2 long, keys array<long>"))
+    sketches = cut(docs.mapInPandas(_sketches, "doc_id long, n long, s1 long, s2 long, bits array<long>, keys array<long>"))
     worded = sketches.where("n > 0")
     classes = worded.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     shown = worded.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     found = components(near_edges(shown, docs), "a", "b")
     labelled = classes.join(found, classes["rep"] == found["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sketches.drop("keys").dropDuplicates(["doc_id"]).join(labelled, ["n", "s1", "s2"], "left")
+    out = sketches.drop("keys", "bits").dropDuplicates(["doc_id"]).join(labelled, ["n", "s1", "s2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
