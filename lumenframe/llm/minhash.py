@@ -31,8 +31,8 @@ THRESHOLD = 75  # per cent
 ALL_PAIRS_UP_TO = 8
 #: Members drawn from a large bucket in the first round, and how many times as many in each later one.
 DRAWN, MORE = 8, 16
-#: Longs of the bit map of a class: bit h modulo 512 is set for each shingle h. It bounds how many shingles two sets can share.
-LONGS = 8
+#: Longs of the bit map of a class: bit h modulo 1024 is set for each shingle h. It bounds how many shingles two sets can share.
+LONGS = 16
 #: Members of a large bucket that one task compares with the drawn ones.
 SLICE = 256
 #: Up to so many ids (8 bytes each), the ids of classes to confirm are broadcast; more are joined by a shuffle.
@@ -154,15 +154,19 @@ def near_edges(classes: DataFrame, docs: DataFrame) -> DataFrame:
     large = met.where(F.col("size") > ALL_PAIRS_UP_TO)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     stars = large.where("doc_id <> centre").select(*pair("centre", "doc_id"))
-    told = _confirm(few.unionByName(stars).distinct(), docs)
-    left, drawn = large.select("key", "doc_id").join(classes.select("doc_id", "n", "bits"), "doc_id"), DRAWN
+    pairs = few.unionByName(stars).distinct()
+    for side, end in (("x", "a"), ("y", "b")):
+        pairs = pairs.join(classes.select(F.col("doc_id").alias(end), *flat(side)), end)
+    told = _confirm(pairs.where(may_be_near("x", "y")).select("a", "b"), docs)
+    left, drawn = large.select("key", "doc_id"), DRAWN
     while True:
         labels = components(told.where("near"), "a", "b")
-        left = left.join(labels, left["doc_id"] == labels["node"], "left").select("key", "doc_id", "n", "bits", F.coalesce("component", "doc_id").alias("label"))
+        left = cut(left.join(labels, left["doc_id"] == labels["node"], "left").select(*left.columns, F.coalesce("component", "doc_id").alias("label")))
         sizes = left.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key")
         sizes = sizes.agg(F.max(F.struct("m", "label"))["label"].alias("largest"), (F.sum("m") - F.max("m")).alias("others"), F.ceil(F.sum("m") / SLICE).alias("slices")).where("others > 0")
         chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-        left = cut(left.join(sizes, "key").withColumn("drawn", (F.col("label") != F.col("largest")) & (chance * F.col("others") < drawn)))
+        left = left.join(sizes, "key").withColumn("drawn", (F.col("label") != F.col("largest")) & (chance * F.col("others") < drawn))
+        left = cut(left if "bits" in left.columns else left.join(classes.select("doc_id", "n", "bits"), "doc_id"))
         if not left.limit(1).count():
             break
         centres = left.where("drawn").select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc_id").alias("centre"), F.col("label").alias("of"), *flat("y"))
