@@ -67,6 +67,10 @@ def views_sql() -> str:
     return "WITH " + ",\n".join(f"{n} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {t} WHERE {w})" for n, (t, w, cols) in VIEWS.items())
 
 
+#: Views whose filter bounds the SQL's neighbourhood self-joins only: Spark reads all their rows.
+SQL_BOUND = {"pix"}
+
+
 class Views:
     """The supplied tables and the catalogue's views over them, as DataFrames read when asked for."""
 
@@ -78,7 +82,8 @@ class Views:
 
     def view(self, name: str) -> DataFrame:
         t, w, cols = VIEWS[name]
-        return self.table(t).where(w).selectExpr(*[f"{e} AS {c}" for c, e in cols.items()])
+        rows = self.table(t) if name in SQL_BOUND else self.table(t).where(w)
+        return rows.selectExpr(*[f"{e} AS {c}" for c, e in cols.items()])
 
     photos = cached_property(lambda self: self.view("photos"))
     edits = cached_property(lambda self: self.view("edits"))

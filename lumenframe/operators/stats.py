@@ -106,6 +106,15 @@ def shift_vectors(blocks: DataFrame, key: list[str], most: int) -> DataFrame:
     return pairs.join(frequent, ["dx", "dy"])
 
 
+def with_next(rows: DataFrame, at: str, value: str, shard: int = 4096) -> DataFrame:
+    """``next``: the value of the row behind, by the whole number ``at``. Windows run over ``shard`` places each and over one row for each shard."""
+    cut = rows.withColumn("_s", F.floor(F.col(at) / shard))
+    heads = cut.groupBy("_s").agg(F.min_by(F.struct(value), at).alias("_h"))
+    behind = heads.select("_s", F.lead("_h").over(Window.orderBy("_s")).alias("_h"))
+    own = F.lead(F.struct(value)).over(Window.partitionBy("_s").orderBy(at))
+    return cut.withColumn("_o", own).join(behind, "_s").select(*rows.columns, F.coalesce("_o", "_h")[value].alias("next"))
+
+
 def shares(rows: DataFrame, key: str) -> DataFrame:
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).select(key, "n", (F.col("n") / F.col("_all")).alias("share"))

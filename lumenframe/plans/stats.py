@@ -111,8 +111,8 @@ def _(v):
 
 @query("best_segment", "AG27 W6", ", l AS (SELECT y, avg(r) AS m FROM pix GROUP BY y), s AS (SELECT y, (m + lead(m) OVER (ORDER BY y)) / 2 * (y % 5 + 1) AS score FROM l) SELECT y, round(score, 6) AS score FROM s WHERE score IS NOT NULL ORDER BY s.score DESC, y LIMIT 1")
 def _(v):
-    rows = v.pix.groupBy("y").agg(F.avg("r").alias("m"))
-    score = (F.col("m") + F.lead("m").over(Window.orderBy("y"))) / 2 * (F.col("y") % 5 + 1)  # one row for each row of a picture
+    rows = stats.with_next(v.pix.groupBy("y").agg(F.avg("r").alias("m")), "y", "m")
+    score = (F.col("m") + F.col("next")) / 2 * (F.col("y") % 5 + 1)
     return rows.select("y", score.alias("_s")).where("_s is not null").orderBy(F.desc("_s"), "y").limit(1).select("y", F.round("_s", 6).alias("score"))
 
 
