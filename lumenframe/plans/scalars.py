@@ -80,7 +80,7 @@ def _(v):
 @query("digests", "SF20 SF6", "SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) || ':' || sha256(coalesce(text, '')) || ':' || sha256(coalesce(text, '')) AS fp FROM documents WHERE strlen(coalesce(text, '')) <= 65536")
 def _(v):
     t = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return v.table("documents").where(F.octet_length(t) <= 65536).select("doc_id", F.md5(t).alias("md5"), F.sha1(t).alias("sha1"), F.sha2(t, 256).alias("sha256"), s.fingerprint(F.octet_length(t), t).alias("fp"))
+    return v.table("documents").select("doc_id", F.md5(t).alias("md5"), F.sha1(t).alias("sha1"), F.sha2(t, 256).alias("sha256"), s.fingerprint(F.octet_length(t), t).alias("fp"))
 
 
 @query("exposure_rules", "SF21 SF22 SF23 SF24 SF25 SF26", """

@@ -1,5 +1,6 @@
 """Queries over inputs larger than the supplied small tables: no row may be left out."""
 
+import hashlib
 import shutil
 
 import pytest
@@ -44,3 +45,13 @@ def test_largest_blob_far_down(spark, tmp_path, sf_dir):
 def test_next_across_shards(spark):
     rows = spark.createDataFrame([(y, float(y * y)) for y in (0, 1, 3, 4, 9, 10, 11, 30)], "y long, m double")
     assert sorted(tuple(r) for r in stats.with_next(rows, "y", "m", shard=4).select("y", "next").collect()) == [(0, 1.0), (1, 9.0), (3, 16.0), (4, 81.0), (9, 100.0), (10, 121.0), (11, 900.0), (30, None)]
+
+
+def test_long_texts_have_digests(spark, tmp_path, sf_dir):
+    """The edges of a text of over 64 KiB differ; hashes by hashlib."""
+    d = _folder(tmp_path, sf_dir, "select i as doc_id, repeat(chr(97 + i::int), 10000 * i) || repeat('ü', 9000 * i) as text, 'en' as lang, 's' as source, 28000 * i as n_chars from range(8) t(i)")
+    texts = {i: (chr(97 + i) * 10000 * i + "ü" * 9000 * i).encode() for i in range(8)}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {i: (hashlib.md5(b).hexdigest(), hashlib.sha1(b).hexdigest(), sha(b), f"{len(b)}:{sha(b[:65536])}:{sha(b[-65536:])}") for i, b in texts.items()}
+    got = {r["doc_id"]: (r["md5"], r["sha1"], r["sha256"], r["fp"]) for r in plans.QUERIES["digests"](spark, d).collect()}
+    assert got == want
