@@ -93,9 +93,9 @@ def differences(a: DataFrame, b: DataFrame, key: list[str], value: str, peak: fl
 
 def best_slope(points: DataFrame, slopes: int, step: float, bound: float) -> DataFrame:
     """Of ``slopes`` candidates, the first with the most points (x, y) whose residual is within the bound."""
-    spark = points.sparkSession
-    swept = points.join(F.broadcast(spark.range(slopes).select(F.col("id").alias("k"))), F.abs(F.col("y") - F.col("x") * F.col("k") * step) < bound)
-    return swept.groupBy("k").agg(F.count("*").alias("inliers")).orderBy(F.desc("inliers"), "k").limit(1)
+    groups = points.groupBy("x", "y").agg(F.count("*").alias("_n"))  # equal points are swept once
+    swept = groups.join(F.broadcast(points.sparkSession.range(slopes).select(F.col("id").alias("k"))), F.abs(F.col("y") - F.col("x") * F.col("k") * step) < bound)
+    return swept.groupBy("k").agg(F.sum("_n").alias("inliers")).orderBy(F.desc("inliers"), "k").limit(1)
 
 
 def shift_vectors(blocks: DataFrame, key: list[str], most: int) -> DataFrame:

@@ -74,8 +74,8 @@ def _(v):
 @query("robust_slope", "AG19", """
 , pts AS (SELECT bin::DOUBLE AS x, v * 5 AS y FROM levels WHERE seq % 7 = 0), k AS (SELECT k, count(*) AS inliers FROM pts, range(300) t(k) WHERE abs(y - x * k * 0.01) < 20 GROUP BY k) SELECT k, inliers FROM k ORDER BY inliers DESC, k LIMIT 1""")
 def _(v):
-    pts = v.levels.where("seq % 7 = 0").select(F.col("bin").cast("double").alias("x"), (F.col("v") * 5).alias("y"))
-    return stats.best_slope(pts, 300, 0.01, 20.0)
+    pts = v.levels.select(F.col("bin").cast("double").alias("x"), (F.col("v") * 5).alias("y"))
+    return stats.best_slope(pts, 3000, 0.001, 20.0)
 
 
 @query("lag_difference", "AG20", ", l AS (SELECT y, abs(log2(r + 1.0) - log2(lag(r, 2) OVER (PARTITION BY y ORDER BY x) + 1.0)) AS d FROM pix) SELECT y, round(avg(d), 6) AS mean, avg(d) > 0.5 AS differs FROM l WHERE d IS NOT NULL GROUP BY y")
@@ -147,7 +147,7 @@ def _(v):
 
 @query("threshold_search", "KN7 SF35", ", s AS (SELECT c, sum(1 / (1 + exp(-(bin / 255.0 - c / 100.0) * 10))) AS v FROM levels, range(1, 100) t(c) WHERE seq % 50 = 1 GROUP BY c) SELECT coalesce(min(CASE WHEN v <= (SELECT count(*) FROM levels WHERE seq % 50 = 1) * 0.4 THEN c + 1 END), 101) / 100.0 AS cut FROM s")
 def _(v):
-    rows = v.levels.where("seq % 50 = 1").groupBy("bin").agg(F.count("*").alias("n"))  # 256 rows at most
+    rows = v.levels.groupBy("bin").agg(F.count("*").alias("n"))  # 256 rows at most
     steps = v.spark.range(1, 100).select(F.col("id").alias("c"))
     sums = rows.crossJoin(F.broadcast(steps)).groupBy("c").agg(F.sum(F.col("n") * s.sigmoid((F.col("bin") / 255.0 - F.col("c") / 100.0) * 10)).alias("v"), F.sum("n").alias("all"))
     return sums.agg((F.coalesce(F.min(F.when(F.col("v") <= F.col("all") * 0.4, F.col("c") + 1)), F.lit(101)) / 100.0).alias("cut"))

@@ -55,3 +55,12 @@ def test_long_texts_have_digests(spark, tmp_path, sf_dir):
     want = {i: (hashlib.md5(b).hexdigest(), hashlib.sha1(b).hexdigest(), sha(b), f"{len(b)}:{sha(b[:65536])}:{sha(b[-65536:])}") for i, b in texts.items()}
     got = {r["doc_id"]: (r["md5"], r["sha1"], r["sha256"], r["fp"]) for r in plans.QUERIES["digests"](spark, d).collect()}
     assert got == want
+
+
+def test_all_points_are_swept(spark, sf_dir):
+    """As the SQL says without its samples, over 3,000 slopes."""
+    con = connect(sf_dir)
+    whole = plans.SQL["threshold_search"].replace("WHERE seq % 50 = 1 GROUP", "GROUP").replace(" WHERE seq % 50 = 1)", ")")
+    assert "seq %" not in whole.split("FROM s")[0].split(", s AS")[1] and spark_rows(plans.QUERIES["threshold_search"](spark, sf_dir)) == sql_rows(con, whole)[1]
+    whole = plans.SQL["robust_slope"].replace(" WHERE seq % 7 = 0", "").replace("range(300)", "range(3000)").replace("k * 0.01", "k * 0.001")
+    assert spark_rows(plans.QUERIES["robust_slope"](spark, sf_dir)) == sql_rows(con, whole)[1]
