@@ -10,6 +10,9 @@ anchor's context is the 84 bytes that all its strings lie in. Anchors meet by gr
   earlier document's context;
 * all others cannot share a 50-byte string.
 
+A gram in very many entries would fill one task. A sample of the groups finds such grams, and only decides their way: each
+string in their contexts goes by its own hash, its smallest document comes from an aggregate, and no task gets a whole gram.
+
 Documents travel in groups of neighbouring ids; a group sends each different pair of gram and context once, so a passage
 that many documents share is counted before it is shuffled. Everything is packed in binary columns and worked on by numpy.
 """
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import cut, shuffle_partitions
 from .shingles import U, powers, scramble
 from .suffix_array import common_prefixes, suffix_array
 
@@ -34,6 +37,8 @@ SIDE = WINDOW - 1
 HALF = WINDOW // 2
 BUCKET = 128
 POSITION = (1 << 28) - 1
+HOT, SAMPLE = 1 << 14, 16  # entries from which a gram is split; one group of so many is counted
+FEW, OFTEN = 200_000, 4096  # so many repeated strings are broadcast; else those in more entries than OFTEN
 
 ENTRIES = np.dtype([("a", "<u4"), ("c0", "<u4"), ("c1", "<u2"), ("doc", "<u2"), ("l", "<u2"), ("r", "<u2")])
 REPLIES = np.dtype([("entry", "<u4"), ("flag", "u1")])
@@ -45,7 +50,7 @@ FULL, UNSURE = 1, 2
 class Anchors:
     """Anchors of the texts of one group, and their different (gram, context) pairs, always in the same order."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], parts: int, chunk: int = 1 << 19) -> None:
+    def __init__(self, ids: np.ndarray, texts: list[bytes], parts: int, hot: np.ndarray, chunk: int = 1 << 19) -> None:
         self.buf = np.frombuffer(b"".join(texts) or b"\0", dtype=np.uint8)
         size = np.array([len(t) for t in texts], dtype=np.int64)
         self.ends = np.cumsum(size)
@@ -62,7 +67,8 @@ class Anchors:
         gram, context, left, right = (np.concatenate([f[k] for f in found] or [none.astype(U)]) for k in range(6, 10))
         self.doc = self.rank[text]
         # The part follows from the gram's high bits, so this order is by part too; equal pairs stay in document order.
-        order = np.lexsort((context, gram))
+        # Entries of hot grams come last, in a part of their own that is not sent.
+        order = np.lexsort((context, gram, np.isin(gram, hot))) if len(hot) else np.lexsort((context, gram))
         g, c, d = gram[order], context[order], self.doc[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
@@ -77,6 +83,9 @@ class Anchors:
         out["doc"] = self.low_doc | (several.astype(np.int64) << 15)
         out["l"], out["r"] = left[o], right[o]
         self.entries, self.part = out, ((gram[o] >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+        self.gram = gram[o]
+        if len(hot):
+            self.part[np.isin(self.gram, hot)] = parts
 
     def _anchors(self, i: int, j: int) -> tuple[np.ndarray, ...]:
         s, e = int(self.starts[i]), int(self.ends[j - 1])
@@ -112,17 +121,17 @@ class Anchors:
         return a + s, low + s, high + s, text + i, begin + s, end + s, h[a], context, left, right
 
 
-def _group(key: tuple, docs: pd.DataFrame, parts: int) -> Anchors:
-    return Anchors(docs["doc_id"].to_numpy(), [(t or "").encode("utf-8") for t in docs["text"]], parts)
+def _group(key: tuple, docs: pd.DataFrame, parts: int, hot: np.ndarray) -> Anchors:
+    return Anchors(docs["doc_id"].to_numpy(), [(t or "").encode("utf-8") for t in docs["text"]], parts, hot)
 
 
 def _sorted(docs: pd.DataFrame) -> pd.DataFrame:
     return docs.sort_values(["doc_id", "text"], kind="stable", na_position="first").reset_index(drop=True)
 
 
-def _send(parts: int) -> Callable:
+def _send(parts: int, hot: np.ndarray) -> Callable:
     def run(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
-        x = _group(key, _sorted(docs), parts)
+        x = _group(key, _sorted(docs), parts, hot)
         edges = np.searchsorted(x.part, np.arange(parts + 1))
         some = np.flatnonzero(np.diff(edges))
         return pd.DataFrame({"part": some.astype(np.int32), "bucket": key[0], "first": edges[some], "entries": [x.entries[edges[p] : edges[p + 1]].tobytes() for p in some]}, columns=["part", "bucket", "first", "entries"])
@@ -176,12 +185,12 @@ def _flags(x: Anchors, rows: pd.DataFrame) -> np.ndarray:
     return flags
 
 
-def _contexts(parts: int) -> Callable:
+def _contexts(parts: int, hot: np.ndarray) -> Callable:
     def run(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"part": pd.Series(dtype=np.int32), "bucket": pd.Series(dtype=np.int64), "data": pd.Series(dtype=object)})
         if not len(docs) or not len(replies):
             return out
-        x = _group(key, _sorted(docs), parts)
+        x = _group(key, _sorted(docs), parts, hot)
         ask = np.flatnonzero(_flags(x, replies) & UNSURE)
         if not len(ask):
             return out
@@ -231,10 +240,64 @@ def _repeats(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": rows["bucket"].to_numpy()[full], "kind": np.int32(1), "data": [out[edges[i] : edges[i + 1]].tobytes() for i in full]}, columns=["bucket", "kind", "data"])
 
 
-def _remove(parts: int) -> Callable:
+def _counts(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+    gram, n = np.unique(_group(key, _sorted(docs), 1, np.empty(0, U)).gram, return_counts=True)
+    return pd.DataFrame({"gram": gram.view(np.int64), "n": n})
+
+
+def hot_grams(rows: DataFrame, bound: int) -> np.ndarray:
+    """Grams with so many entries that they are split, as a sample of the groups tells. Either way gives the same rows."""
+    some = rows.where(F.pmod(F.xxhash64("bucket"), F.lit(SAMPLE)) == 0)
+    counts = some.groupBy("bucket").applyInPandas(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= max(bound // SAMPLE, 2)).select("gram").collect()  # few: each has many entries
+    return np.array([r.gram for r in found], dtype=np.int64).view(U)
+
+
+def _strings(parts: int, hot: np.ndarray) -> Callable:
+    """Each string in a context of a hot gram, by gram and hash, with the smallest document of the group that has the context."""
+
+    def run(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+        docs = _sorted(docs)
+        x = _group(key, docs, parts, hot)
+        ask = np.flatnonzero(x.part == parts)
+        one = x.one[ask]
+        n = x.end[one] - x.begin[one]
+        raw = x.buf[np.minimum(x.begin[one][:, None] + np.arange(SIDE + LENGTH), len(x.buf) - 1)]
+        up, down = powers(SIDE + LENGTH + 1)
+        sums = np.zeros((len(ask), SIDE + LENGTH + 1), dtype=U)
+        np.cumsum((raw.astype(U) + U(1)) * up[: SIDE + LENGTH], axis=1, out=sums[:, 1:])
+        h = scramble((sums[:, LENGTH:] - sums[:, : SIDE + 1]) * down[: SIDE + 1])
+        i, k = np.nonzero(np.arange(SIDE + 1) + LENGTH <= n[:, None])
+        low = np.unique(docs["doc_id"].to_numpy())[x.low_doc[ask]]
+        return pd.DataFrame({"bucket": np.full(len(i), key[0], np.int64), "entry": ask[i], "k": k.astype(np.int32), "gram": x.gram[ask][i].view(np.int64), "string": h[i, k].view(np.int64), "doc": low[i]})
+
+    return run
+
+
+def _masks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros(len(rows), dtype=MASKS)
+    out["entry"], out["mask"] = rows["entry"].to_numpy(), rows["mask"].to_numpy().astype(U)
+    return pd.DataFrame({"bucket": [key[0]], "kind": np.int32(1), "data": [out.tobytes()]})
+
+
+def _split(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """The masks of hot grams' contexts, as ``_repeats`` gives them for the others."""
+    strings = rows.groupBy("bucket").applyInPandas(_strings(parts, hot), "bucket long, entry long, k int, gram long, string long, doc long")
+    of = ["gram", "string"]
+    least = cut(strings.groupBy(*of).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"))
+    if least.count() <= FEW:
+        met = strings.join(F.broadcast(least), of)
+    else:  # a string in many entries is not dealt out by its hash
+        often, rest = least.where(F.col("n") > OFTEN), least.where(F.col("n") <= OFTEN)
+        met = strings.join(F.broadcast(often), of).unionByName(strings.join(rest, of))
+    masks = met.where("doc > least").groupBy("bucket", "entry").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+    return masks.groupBy("bucket").applyInPandas(_masks, "bucket long, kind int, data binary")
+
+
+def _remove(parts: int, hot: np.ndarray) -> Callable:
     def run(key: tuple, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         docs = _sorted(docs)
-        x = _group(key, docs, parts)
+        x = _group(key, docs, parts, hot)
         flags = _flags(x, told)
         later = x.doc > x.low_doc[x.entry] if len(x.entry) else np.empty(0, bool)
         whole = (flags[x.entry] & FULL > 0) | later
@@ -268,7 +331,7 @@ def _remove(parts: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_bytes: bool = True, bound: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), one row for each row of ``docs``.
 
     A null or empty text has nothing to remove. Rows that share a doc_id are one document: neither is earlier. A null
@@ -278,13 +341,16 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     parts = 2 * shuffle_partitions(spark)
     rows = docs.select("doc_id", "text", F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62))).alias("bucket"))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    sent = rows.groupBy("bucket").applyInPandas(_send(parts), "part int, bucket long, first long, entries binary")
+    hot = hot_grams(rows, bound)
+    sent = rows.groupBy("bucket").applyInPandas(_send(parts, hot), "part int, bucket long, first long, entries binary")
     replies = sent.groupBy("part").applyInPandas(_meet, "bucket long, kind int, data binary")
     by_bucket = rows.groupBy("bucket")
-    contexts = by_bucket.cogroup(replies.groupBy("bucket")).applyInPandas(_contexts(parts), "part int, bucket long, data binary")
+    contexts = by_bucket.cogroup(replies.groupBy("bucket")).applyInPandas(_contexts(parts, hot), "part int, bucket long, data binary")
     repeats = contexts.groupBy("part").applyInPandas(_repeats, "bucket long, kind int, data binary")
     told = replies.unionByName(repeats)
-    out = by_bucket.cogroup(told.groupBy("bucket")).applyInPandas(_remove(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    if len(hot):
+        told = told.unionByName(_split(rows, parts, hot))
+    out = by_bucket.cogroup(told.groupBy("bucket")).applyInPandas(_remove(parts, hot), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
 
 
