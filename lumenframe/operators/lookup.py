@@ -25,7 +25,7 @@ def first_containment(rows: DataFrame, rules: DataFrame, key: str, text: str) ->
     """The first rule, by ``pos``, whose needle contains the text or is contained in it. The rules must be few: they are tried on each row."""
     names = [c for c in rules.columns if c not in ("pos", "needle")]
     fits = F.col(text).contains(F.col("needle")) | F.col("needle").contains(F.col(text))
-    met = rows.join(F.broadcast(rules.limit(SMALL_ROWS)), fits)
+    met = rows.join(_small(rules), fits)
     return met.groupBy(key).agg(F.min_by(F.struct(*names), "pos").alias("_r")).select(key, "_r.*")
 
 

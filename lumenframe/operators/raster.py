@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import _small
+
 
 def around(pixels: DataFrame, radius_x: int, radius_y: int, cross: bool = False) -> DataFrame:
     """Each pixel once for each place that sees it: its own x, y replaced by that place's; ``dx``, ``dy`` say from where."""
@@ -59,8 +61,8 @@ def tiles(pixels: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def lut(pixels: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    """``value`` replaced through a table (i, o) of at most 256 rows."""
-    return pixels.join(F.broadcast(table.limit(256)), F.col(value) == F.col("i")).withColumn(value, F.col("o")).drop("i", "o")
+    """``value`` replaced through a table (i, o)."""
+    return pixels.join(_small(table), F.col(value) == F.col("i")).withColumn(value, F.col("o")).drop("i", "o")
 
 
 def equalise(pixels: DataFrame, value: str) -> DataFrame:

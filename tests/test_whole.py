@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe import plans
-from lumenframe.operators import stats
+from lumenframe.operators import lookup, raster, stats
 from tests.compare import TABLES, connect, spark_rows, sql_rows
 
 
@@ -94,3 +94,12 @@ def test_line_in_thousands_of_contexts(spark):
         got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()))
     want = brute_removed(ids, texts)
     assert sum(w[0][1] for w in want.values()) > 0 and got == {i: sorted(v) for i, v in want.items()}
+
+
+def test_tables_beyond_the_bound(spark):
+    n = lookup.SMALL_ROWS + 5
+    rules = spark.range(n).select(F.col("id").alias("pos"), F.format_string("<%06d>", "id").alias("needle"), (F.col("id") * 2).alias("out"))
+    rows = spark.createDataFrame([(k, f"a<{k:06d}>b") for k in (0, n - 2, n - 1)], "key long, text string")
+    assert sorted(tuple(r) for r in lookup.first_containment(rows, rules, "key", "text").collect()) == [(k, 2 * k) for k in (0, n - 2, n - 1)]
+    table = spark.range(300).select(F.col("id").alias("i"), (F.col("id") + 1).alias("o"))
+    assert raster.lut(spark.range(300).select(F.col("id").alias("v")), table, "v").count() == 300
