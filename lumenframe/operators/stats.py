@@ -69,9 +69,11 @@ def compose(f: DataFrame, g: DataFrame) -> DataFrame:
 def ranked(rows: DataFrame, key: list[str], value: str | Column, ranks: dict[str, Column]) -> DataFrame:
     """Values at 0-based ranks of the ascending order; a rank is an expression of the count ``n``."""
     v = F.col(value) if isinstance(value, str) else value
+    counts = rows.select(*key, v.alias("_v")).groupBy(*key, "_v").agg(F.count("*").alias("_c"))  # windows run over different values only
     w = Window.partitionBy(*key)
-    numbered = rows.select(*key, v.alias("_v")).withColumn("_k", F.row_number().over(w.orderBy("_v")) - 1).withColumn("n", F.count("*").over(w))
-    return numbered.groupBy(*key).agg(*[F.max(F.when(F.col("_k") == F.least(r, F.col("n") - 1), F.col("_v"))).alias(name) for name, r in ranks.items()])
+    cum = counts.withColumn("_cum", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(w))
+    at = lambda r: F.min_by("_v", F.when(F.col("_cum") > F.least(r, F.col("n") - 1), F.col("_cum")))
+    return cum.groupBy(*key).agg(*[at(r).alias(name) for name, r in ranks.items()])
 
 
 def image_metrics(pixels: DataFrame, key: list[str]) -> DataFrame:

@@ -103,3 +103,17 @@ def test_tables_beyond_the_bound(spark):
     assert sorted(tuple(r) for r in lookup.first_containment(rows, rules, "key", "text").collect()) == [(k, 2 * k) for k in (0, n - 2, n - 1)]
     table = spark.range(300).select(F.col("id").alias("i"), (F.col("id") + 1).alias("o"))
     assert raster.lut(spark.range(300).select(F.col("id").alias("v")), table, "v").count() == 300
+
+
+def test_ranks_order_counts_not_rows(spark):
+    """The values of a sort, null the smallest; the window is behind an aggregate by value."""
+    rows = [("a", i * 7919 % 13) for i in range(2000)] + [("b", None)] * 3 + [("b", 5), ("b", 2)]
+    n = F.col("n")
+    got = stats.ranked(spark.createDataFrame(rows, "c string, v int"), ["c"], "v", {"low": F.floor((n - 1) / 2), "p90": F.floor(n * 0.9), "last": n})
+    want = []
+    for c in "ab":
+        v = sorted((x for k, x in rows if k == c), key=lambda x: -1 if x is None else x)
+        want.append((c, v[(len(v) - 1) // 2], v[int(len(v) * 0.9)], v[-1]))
+    assert sorted(tuple(r) for r in got.select("c", "low", "p90", "last").collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert max(k for k, x in enumerate(plan) if "Window" in x) < max(k for k, x in enumerate(plan) if "Aggregate" in x)
