@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +27,65 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset: on one machine a temporary folder, on a cluster the warehouse."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        found = tempfile.mkdtemp(prefix="spark-") if alone else spark.conf.get("spark.sql.warehouse.dir")
+    return found.rstrip("/")
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when each query ends, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read from there, so that a lost executor costs nothing
-    that lies before it. Only where that setting is missing (tests on one machine) a temporary folder stands in."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """``df`` written to the shared folder and read from there, so that a lost executor costs nothing that lies before it.
+
+    For what a returned DataFrame reads: Spark deletes the files when nothing refers to them any more, where the cluster
+    sets spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    with shuffles_deleted(df.sparkSession):
+        return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that setting is missing, a temporary one."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+class Scratch:
+    """Tables in the shared folder that an operator needs only while it runs; they go one by one, or all with the block."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.top, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.top}/{len(self.paths)}"
+        with shuffles_deleted(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self._delete(self.paths[id(t)][0])
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.top)

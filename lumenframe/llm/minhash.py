@@ -1,27 +1,30 @@
 """Near-duplicates: one-permutation MinHash with optimal densification, banded buckets, star-shaped candidate edges.
 
-Documents with equal shingle sets are one class first, represented by the smallest doc_id. Each class gets one pass over
-its shingles: the hash's high bits choose a bin, each bin keeps its smallest hash, and an empty bin borrows from the bin
-that its own probing sequence finds first. Forty bands of four bins find a pair at the threshold of 0.75 but for a chance
-of about 3 in 10 million. In a bucket of a few classes
-all pairs are candidates. In a larger one each class is paired with a centre, the same one in most buckets of a family.
-Candidates are confirmed on the full sets. Where a large bucket still holds several components, members outside its
-largest component are drawn, some and then ever more of them, and held against all members of other components; a drawn
-member leaves the bucket, as nothing in it is left to compare. A bucket is done when one component remains, so no pair in
-a bucket is passed over unless its ends are linked already.
+Documents with equal shingle sets are one class first. Each class gets one pass over its shingles: the hash's high bits
+choose a bin, each bin keeps its smallest hash, and an empty bin borrows from the bin that its own probing sequence finds
+first. Forty bands of four bins find a pair at the threshold of 0.75 but for a chance of about 3 in 10 million. In a
+bucket of a few classes all pairs are candidates. A larger one is dealt into cells of about eight, and each class is
+paired with the bucket's centre, the same one in most buckets of a family, and with its cell's. Candidates are confirmed
+on the full sets.
+
+Classes of a large bucket that still holds several components then meet by their rare shingles: with shingles ordered
+from rare to common, two near sets share one among the first seventh of the smaller set and the first quarter of the
+larger one, at places that leave enough for the overlap wanted. So what stars have not linked is found without pairing a
+bucket out, and exactly: a passage that thousands of different documents share is common, and no first shingle of theirs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch, cut
 from .components import components
 from .shingles import U, scramble, shingle_sets
 
@@ -29,12 +32,10 @@ BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 THRESHOLD = 75  # per cent
 ALL_PAIRS_UP_TO = 8
-#: Members drawn from a large bucket in the first round, and how many times as many in each later one.
-DRAWN, MORE = 8, 16
+#: Members of a cell of a large bucket, about.
+CELL = 8
 #: Longs of the bit map of a class: bit h modulo 1024 is set for each shingle h. It bounds how many shingles two sets can share.
 LONGS = 16
-#: Members of a large bucket that one task compares with the drawn ones.
-SLICE = 256
 #: Up to so many ids (8 bytes each), the ids of classes to confirm are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Characters whose shingle sets a worker returns at a time.
@@ -98,15 +99,20 @@ def _by_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield some
 
 
+def _fold(found: np.ndarray, seed: int) -> int:
+    return int(scramble(found ^ U(seed)).sum(dtype=U).view(np.int64))
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in _by_text(batches):
         sets = shingle_sets(list(batch["text"]))
         yield pd.DataFrame(
             {
-                "doc_id": batch["doc_id"],
+                "doc_id": batch["doc_id"].astype("Int64"),
+                "t": batch["t"],
                 "n": [len(s) for s in sets],
-                "s1": [int(scramble(s).sum(dtype=U).view(np.int64)) for s in sets],
-                "s2": [int(scramble(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64)) for s in sets],
+                "s1": [_fold(s, 0) for s in sets],
+                "s2": [_fold(s, 0x5851F42D4C957F2D) for s in sets],
                 "bits": [bit_map(s) for s in sets],
                 "keys": [band_keys(signature(s)) if len(s) else np.empty(0, np.int64) for s in sets],
             }
@@ -115,7 +121,8 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in _by_text(batches):
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "s": [s.tobytes() for s in shingle_sets(list(batch["text"]))]})
+        sets = shingle_sets(list(batch["text"]))
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "s1": [_fold(s, 0) for s in sets], "s": [s.tobytes() for s in sets]})
 
 
 def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,74 +135,130 @@ def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "na": [len(x) // 8 for x in batch["sa"]], "nb": [len(x) // 8 for x in batch["sb"]], "both": same})
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, near) of each pair, by their full sets."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [np.frombuffer(s, np.int64) for s in batch["s"]]
+        size = [len(s) for s in sets]
+        yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), size), "label": np.repeat(batch["label"].to_numpy(), size), "n": np.repeat(size, size), "token": np.concatenate([*sets, np.empty(0, np.int64)])})
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (low, s1 and more columns; a written table) with s, the packed shingle set of the class."""
     few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInPandas(_sets, "doc_id long, s binary").dropDuplicates(["doc_id"])
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    ids = wanted.select(F.col("low").alias("doc_id")).distinct()
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInPandas(_sets, "doc_id long, s1 long, s binary").withColumnsRenamed({"doc_id": "low"})
+    found = sets.join(F.broadcast(wanted) if few else wanted, ["low", "s1"])
+    return found.dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are near."""
+    for side, end in (("x", "a"), ("y", "b")):
+        pairs = pairs.join(classes.select(F.col("node").alias(end), *flat(side)), end)
+    pairs = scratch.cut(pairs.where(may_be_near("x", "y")).select("a", "b"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = scratch.cut(classes.select("node", "low", "s1").join(ends, "node"))
+    sets = _sets_of(wanted, docs)
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     counted = two.mapInPandas(_common, "a long, b long, na long, nb long, both long")
-    near = F.col("both") * 100 >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("both"))
-    return cut(counted.select("a", "b", near.alias("near")))
+    near = scratch.cut(counted.where(F.col("both") * 100 >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    scratch.drop(pairs, wanted)
+    return near
 
 
-def near_edges(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of classes (doc_id, n, bits, keys) whose sets are near. ``docs`` has one text for each doc_id of a class."""
-    keyed = classes.select("doc_id", "n", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("centre")).where("size > 1")
-    met = cut(keyed.join(sizes, "key").select("key", "size", "centre", "doc_id", "n"))
-    few = met.where(F.col("size") <= ALL_PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("m"))
+def bucket_pairs(met: DataFrame) -> DataFrame:
+    """(a, b), distinct, from rows (key, size, centre, node, n) of the buckets: all pairs of small ones, stars in large ones."""
+    few = met.where(F.col("size") <= ALL_PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
     few = few.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, ALL_PAIRS_UP_TO)).alias("y"))
-    may = lambda n, k: F.least(n, k) * 100 >= THRESHOLD * F.greatest(n, k)
-    few = few.where(may(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    few = few.where(F.least("x.n", "y.n") * 100 >= THRESHOLD * F.greatest("x.n", "y.n")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     large = met.where(F.col("size") > ALL_PAIRS_UP_TO)
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    stars = large.where("doc_id <> centre").select(*pair("centre", "doc_id"))
-    pairs = few.unionByName(stars).distinct()
-    for side, end in (("x", "a"), ("y", "b")):
-        pairs = pairs.join(classes.select(F.col("doc_id").alias(end), *flat(side)), end)
-    told = _confirm(pairs.where(may_be_near("x", "y")).select("a", "b"), docs)
-    left, drawn = large.select("key", "doc_id"), DRAWN
-    while True:
-        labels = components(told.where("near"), "a", "b")
-        left = cut(left.join(labels, left["doc_id"] == labels["node"], "left").select(*left.columns, F.coalesce("component", "doc_id").alias("label")))
-        sizes = left.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key")
-        sizes = sizes.agg(F.max(F.struct("m", "label"))["label"].alias("largest"), (F.sum("m") - F.max("m")).alias("others"), F.ceil(F.sum("m") / SLICE).alias("slices")).where("others > 0")
-        chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-        left = left.join(sizes, "key").withColumn("drawn", (F.col("label") != F.col("largest")) & (chance * F.col("others") < drawn))
-        left = cut(left if "bits" in left.columns else left.join(classes.select("doc_id", "n", "bits"), "doc_id"))
-        if not left.limit(1).count():
-            break
-        centres = left.where("drawn").select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc_id").alias("centre"), F.col("label").alias("of"), *flat("y"))
-        members = left.select("key", F.pmod(F.xxhash64("doc_id"), "slices").alias("slice"), "doc_id", "label", *flat("x"))
-        rest = members.join(centres, ["key", "slice"]).where((F.col("label") != F.col("of")) & may_be_near("x", "y")).select(*pair("doc_id", "centre")).distinct()
-        told = told.unionByName(_confirm(rest.join(told, ["a", "b"], "left_anti"), docs))
-        left, drawn = left.where("not drawn").select("key", "doc_id", "n", "bits"), drawn * MORE
-    return told.where("near").select("a", "b")
+    mixed = F.xxhash64("key", "node")
+    cells = large.withColumn("cell", F.pmod(mixed, F.ceil(F.col("size") / CELL)))
+    seats = cells.groupBy("key", "cell").agg(F.min_by("node", F.xxhash64("node", "key")).alias("own"))
+    seated = cells.join(seats, ["key", "cell"]).select("node", F.explode(F.array("centre", "own")).alias("to")).where("node <> to")
+    return few.unionByName(seated.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))).distinct()
+
+
+def prefix_pairs(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b), distinct: all pairs of different labels that may be near, from rows (node, label, s).
+
+    Sets with n and m shingles, n <= m, are near only if they share 75 (n + m) / 175. If p shingles of one stand before
+    the first shared one, n + m is at most 7 (n - p) / 3 for either of them. A node with p before a shingle so reaches
+    sizes up to (4 n - 7 p) / 3 there, and both must reach the other's size. Sizes go in bands, so that few rows meet.
+    """
+    tokens = scratch.cut(sets.mapInPandas(_shingles, "node long, label long, n long, token long"))
+    often = scratch.cut(tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).where("often > 1"))
+    shared = tokens.join(often, "token")
+    rare_first = Window.partitionBy("node").orderBy("often", "token")  # one document's shingles
+    own = F.col("n") - F.count("*").over(Window.partitionBy("node"))  # the shingles that only this node has come first
+    ranked = shared.withColumn("p", own + F.row_number().over(rare_first) - 1).where("x <> y and 4 * p <= n")
+    base = 100 / THRESHOLD
+    band = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double") + 0.5) / math.log(base))
+    rows = scratch.cut(ranked.select("node", "label", "n", "token", F.floor((4 * F.col("n") - 7 * F.col("p")) / 3).alias("reach")))
+    name = lambda side: [F.col(c).alias(c + side) for c in ("node", "label", "n", "reach")]
+    small = rows.where("reach >= n").select("token", *name("a"), F.explode(F.sequence(band(F.col("n")), band(F.col("reach")))).alias("band"))
+    large = rows.select("token", *name("b"), band(F.col("n")).alias("band"))
+    fits = "labela <> labelb and na <= nb and nb <= reacha and na <= reachb"
+    met = small.join(large, ["token", "band"]).where(fits)
+    found = scratch.cut(met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct())
+    scratch.drop(tokens, often, rows)
+    return found
+
+
+def near_edges(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of classes (node, low, s1, n, bits, keys), enough of those whose sets are near to link all that are."""
+    keyed = classes.select("node", "n", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node")).alias("centre")).where("size > 1")
+    sizes = scratch.cut(sizes)  # a table of its own, so that the join can split a hot bucket
+    met = scratch.cut(keyed.join(sizes, "key").select("key", "size", "centre", "node", "n"))
+    near = _confirmed(bucket_pairs(met), classes, docs, scratch)
+    large = met.where(F.col("size") > ALL_PAIRS_UP_TO).select("key", "node")
+    labelled = large.join(components(near, "a", "b", scratch), "node", "left")
+    labelled = scratch.cut(labelled.select("key", "node", F.coalesce("component", "node").alias("label")))
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    left = scratch.cut(classes.select("node", "low", "s1").join(labelled.join(open_, "key", "left_semi").select("node", "label").distinct(), "node"))
+    scratch.drop(sizes, met, labelled)
+    pairs = prefix_pairs(_sets_of(left, docs).select("node", "label", "s"), scratch)
+    return near.unionByName(_confirmed(pairs, classes, docs, scratch))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """What ``near_duplicates`` returns, and t, the hash of the text."""
+    docs = docs.select("doc_id", "text")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = docs.withColumn("t", F.xxhash64("text"))
+        sketches = scratch.cut(rows.mapInPandas(_sketches, "doc_id long, t long, n long, s1 long, s2 long, bits array<long>, keys array<long>"))
+        worded = sketches.where("n > 0 and doc_id is not null")
+        grouped = worded.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+        classes = scratch.cut(grouped.withColumn("node", F.monotonically_increasing_id()))
+        linked = components(near_edges(classes, docs, scratch), "a", "b", scratch)
+        of = classes.select("node", "n", "s1", "s2", "low").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = of.groupBy("component").agg(F.min("low").alias("component_id"))
+        named = of.join(least, "component").select("n", "s1", "s2", "component_id")
+        out = sketches.select("doc_id", "t", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        return cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "t"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per doc_id: n_shingles, component_id (the smallest doc_id that links of 0.75 and more reach), kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links of 0.75 and more reach), kept.
 
-    A null or empty text, or one without words, has no shingles and links with nothing. doc_id should be unique; of rows
-    that share one, a single text counts. A null doc_id is left out. Further columns are not read.
+    A null or empty text, or one without words, has no shingles and links with nothing. Rows that share a doc_id are
+    documents of their own, each with its text. A row without a doc_id has nothing to be named by: it links with nothing,
+    its component_id is null and it is kept. An empty table gives no rows. Very long texts are taken whole, a few
+    megabytes at a time. Further columns are not read, whatever their names.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    sketches = cut(docs.mapInPandas(_sketches, "doc_id long, n long, s1 long, s2 long, bits array<long>, keys array<long>"))
-    worded = sketches.where("n > 0")
-    classes = worded.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    shown = worded.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = components(near_edges(shown, docs), "a", "b")
-    labelled = classes.join(found, classes["rep"] == found["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sketches.drop("keys", "bits").dropDuplicates(["doc_id"]).join(labelled, ["n", "s1", "s2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return _judged(docs).drop("t")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group; documents without words, or without a doc_id, all stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one document of each group; documents without words, or without a doc_id, all stay.
+
+    Rows that share both doc_id and text stay or go together. An empty table stays empty; all columns pass through,
+    whatever their names.
+    """
+    gone = _judged(docs).where("not kept").select("doc_id", "t").distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("t"))
+    return rows.join(gone, ["doc_id", "t"], "left_anti").select("row.*")

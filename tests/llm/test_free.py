@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.llm import media, minhash, packing, substring_dedup, toxicity, url_filter
+from lumenframe.llm.common import Scratch
 from lumenframe.llm.components import components
 from lumenframe.llm.queries import tokenizer_paths
 from lumenframe.llm.suffix_array import common_prefixes, suffix_array
@@ -85,6 +86,9 @@ def test_near_duplicates(spark, monkeypatch, pairs_up_to):
     assert kept == {i for i, (_, c) in got.items() if i == c}
     assert minhash.near_duplicates(docs(spark, texts).limit(0)).count() == 0
     assert minhash.drop_near_duplicates(docs(spark, ["a", "a"], [None, None])).count() == 2
+    twice = docs(spark, ["one two", "three four", "one two", "one two"], [4, 4, 9, None])
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in minhash.near_duplicates(twice).collect()) == [(0, 1, 0, True), (4, 1, 4, True), (4, 1, 4, True), (9, 1, 4, False)]
+    assert minhash.drop_near_duplicates(twice).count() == 3
 
 
 def test_near_duplicates_on_documents(spark, sf_dir):
@@ -116,10 +120,36 @@ def test_components(spark):
         a, b = sorted((root(a), root(b)))
         parent[b] = a
     linked = {x for a, b in edges if a != b for x in (a, b)}
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "p long, q long"), "p", "q").collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "p long, q long").repartition(5), "p", "q", scratch).collect()}
     assert got == {x: root(x) for x in linked}
 
 
+def test_large_bucket_without_links(spark):
+    """A passage that fills many buckets, in documents of which few are near others."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(60)]
+    texts = [passage + [word() for _ in range(40)] for _ in range(60)]
+    texts += [[*t[:98], "changed", "too"] for t in texts[:5]] + [t[1:] for t in texts[5:9]]
+    texts = [" ".join(t) for t in texts]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(list(range(len(texts))), texts) and len({c for _, c in got.values()}) == 60
+
+
+def test_pairs_by_rare_shingles_are_all_there(spark):
+    r = np.random.default_rng(2)
+    pool = r.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(r.choice(pool[: r.choice([60, 400])], size=r.integers(1, 60))) for _ in range(150)]
+    sets += [np.unique(np.append(s[r.random(len(s)) > 0.1], pool[:1])) for s in sets]
+    frame = spark.createDataFrame([(i, i % 140, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, label long, s binary")
+    with Scratch(spark) as scratch:
+        got = {(x.a, x.b) for x in minhash.prefix_pairs(frame, scratch).collect()}
+    share = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if i % 140 != j % 140 and share(sets[i], sets[j]) >= 0.75}
+    assert want <= got and len(want) > 50
+
+
 def test_suffix_array():
     r = random.Random(4)
     for k in range(60):
