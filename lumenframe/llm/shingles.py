@@ -26,11 +26,11 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i below n; kept up to 4 MB of text."""
+    """BASE^i and BASE^-i modulo 2^64 for i below n; kept for up to 1 MB of text."""
     if len(_powers.get("up", ())) < n:
         size = max(n, 1 << 16)
         both = [np.cumprod(np.full(size, b, dtype=U)) for b in (BASE, pow(BASE, -1, 1 << 64))]
-        if size > 1 << 22:
+        if size > 1 << 20:
             return both[0][:n], both[1][:n]
         _powers["up"], _powers["down"] = both
     return _powers["up"][:n], _powers["down"][:n]

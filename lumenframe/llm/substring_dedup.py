@@ -1,10 +1,10 @@
 """Exact substring dedup: bytes covered by a 50-byte string that also starts in an earlier document are removed.
 
 Suffix arrays are built in shards, and a shard only gets bytes that can repeat. In each document, every 50-byte string
-names the 16-byte gram of smallest hash inside it as its anchor, so equal strings name equal grams at equal places. An
-anchor's context is the 84 bytes that all its strings lie in. Anchors meet by gram hash:
+names the 16-byte gram of smallest hash inside it as its anchor, so equal strings name equal grams at equal places. The
+strings of an anchor follow each other; its context is the bytes that they lie in, 84 at most. Anchors meet by gram hash:
 
-* equal contexts: all strings of the later documents repeat, decided by the context's hash;
+* equal contexts: all strings of the later documents repeat, decided by 128 bits, of the gram's hash and the context's;
 * different contexts that agree on the gram and 17 more bytes on one side: one copy of each context goes to the gram's
   shard, where a suffix array by induced sorting and permuted common prefixes tell which of its strings start in an
   earlier document's context;
@@ -37,10 +37,12 @@ SIDE = WINDOW - 1
 HALF = WINDOW // 2
 BUCKET = 128
 POSITION = (1 << 28) - 1
+SEGMENT = 1 << 22  # longer texts are worked on in segments of so many bytes
+PART = 4 << 20  # bytes of text whose anchors meet in one part, about
 HOT, SAMPLE = 1 << 14, 16  # entries from which a gram is split; one group of so many is counted
 FEW, OFTEN = 200_000, 4096  # so many repeated strings are broadcast; else those in more entries than OFTEN
 
-ENTRIES = np.dtype([("a", "<u4"), ("c0", "<u4"), ("c1", "<u2"), ("doc", "<u2"), ("l", "<u2"), ("r", "<u2")])
+ENTRIES = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<u2"), ("l", "<u2"), ("r", "<u2")])
 REPLIES = np.dtype([("entry", "<u4"), ("flag", "u1")])
 CONTEXTS = np.dtype([("entry", "<u4"), ("doc", "<u2"), ("n", "u1")])
 MASKS = np.dtype([("entry", "<u4"), ("mask", "<u8")])
@@ -57,10 +59,10 @@ class Anchors:
         self.starts = self.ends - size
         self.rank = np.unique(ids, return_inverse=True)[1]
         found, i = [], 0
-        while i < len(size):  # whole texts, about a megabyte at a time
+        while i < len(size):  # whole texts, about half a megabyte at a time; the strings of very long ones in segments
             j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + chunk, side="right")))
-            if self.ends[j - 1] - self.starts[i] >= LENGTH:
-                found.append(self._anchors(i, j))
+            for s in range(int(self.starts[i]), int(self.ends[j - 1]) - LENGTH + 1, SEGMENT if size[i] > SEGMENT else 1 << 62):
+                found.append(self._anchors(i, j, s, min(s + SEGMENT + LENGTH - 1, int(self.ends[j - 1]))))
             i = j
         none = np.empty(0, np.int64)
         self.at, self.low, self.high, text, self.begin, self.end = (np.concatenate([f[k] for f in found] or [none]) for k in range(6))
@@ -79,7 +81,7 @@ class Anchors:
         self.one = o = order[first]  # an occurrence in the smallest document
         several = d[np.append(first[1:], len(d)) - 1] > self.low_doc if len(first) else np.empty(0, bool)
         out = np.zeros(len(first), dtype=ENTRIES)
-        out["a"], out["c0"], out["c1"] = gram[o] & U(0xFFFFFFFF), context[o] >> U(32), (context[o] >> U(16)) & U(0xFFFF)
+        out["a"], out["c"] = gram[o], context[o]
         out["doc"] = self.low_doc | (several.astype(np.int64) << 15)
         out["l"], out["r"] = left[o], right[o]
         self.entries, self.part = out, ((gram[o] >> U(32)) * U(parts) >> U(32)).astype(np.int64)
@@ -87,10 +89,9 @@ class Anchors:
         if len(hot):
             self.part[np.isin(self.gram, hot)] = parts
 
-    def _anchors(self, i: int, j: int) -> tuple[np.ndarray, ...]:
-        s, e = int(self.starts[i]), int(self.ends[j - 1])
+    def _anchors(self, i: int, j: int, s: int, e: int) -> tuple[np.ndarray, ...]:
         t, n = self.buf[s:e], e - s
-        starts, ends = self.starts[i:j] - s, self.ends[i:j] - s
+        starts, ends = np.clip(self.starts[i:j], s, e) - s, np.clip(self.ends[i:j], s, e) - s
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, dtype=U)
         np.cumsum((t.astype(U) + U(1)) * up[:n], out=sums[1:])
@@ -111,14 +112,13 @@ class Anchors:
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
         a, low, high = at[first], valid[first], valid[np.append(first[1:], len(at)) - 1] if len(at) else at
         text = np.searchsorted(ends, a, side="right")
-        top, tail = starts[text], ends[text]
         hashed = lambda b, x: scramble((sums[x] - sums[b]) * down[b] + (x - b).astype(U))
-        begin, end = np.maximum(a - SIDE, top), np.minimum(a + LENGTH, tail)
-        short = lambda x, has: np.where(has, (x & U(0xFFFE)) + U(1), U(0))
-        left = short(hashed(np.maximum(a - HALF, top), a + GRAM), a - HALF >= top)
-        right = short(hashed(a, np.minimum(a + GRAM + HALF, tail)), a + GRAM + HALF <= tail)
+        begin, end = low, high + LENGTH
+        short = lambda b, x, has: np.where(has, (hashed(np.where(has, b, 0), np.where(has, x, 0)) & U(0xFFFE)) + U(1), U(0))
+        left, right = short(a - HALF, a + GRAM, low <= a - HALF), short(a, a + GRAM + HALF, high >= a - HALF)
         context = scramble(hashed(begin, end) + (a - begin).astype(U) * U(0x9E3779B97F4A7C15))
-        return a + s, low + s, high + s, text + i, begin + s, end + s, h[a], context, left, right
+        gram = h[a] * U(0x9E3779B97F4A7C15)  # anchors have small hashes; their high bits, which choose the part, are dealt anew
+        return a + s, low + s, high + s, text + i, begin + s, end + s, gram, context, left, right
 
 
 def _group(key: tuple, docs: pd.DataFrame, parts: int, hot: np.ndarray) -> Anchors:
@@ -147,9 +147,8 @@ def _meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     size = np.array([len(x) for x in each])
     owner = np.repeat(np.arange(len(each)), size)
     number = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(rows["first"].to_numpy(), size)
-    c = e["c0"].astype(np.int64) << 16 | e["c1"]
-    order = np.lexsort((owner, c, e["a"]))
-    a, c, o = e["a"][order], c[order], owner[order]
+    order = np.lexsort((e["c"], e["a"]))  # stable, so that groups stay in their order
+    a, c = e["a"][order], e["c"][order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
     flag = np.zeros(len(order), dtype=np.uint8)
@@ -159,7 +158,7 @@ def _meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         half = e[side][order[heads]]
         has = np.flatnonzero(half > 0)
         k = heads[has]
-        key2 = a[k].astype(np.int64) << 16 | half[has]
+        key2 = a[k] * U(0x9E3779B97F4A7C15) + half[has]  # one too many that seems equal only means more work
         by = np.argsort(key2, kind="stable")
         s = key2[by]
         twin = np.zeros(len(s), dtype=bool)
@@ -197,10 +196,13 @@ def _contexts(parts: int, hot: np.ndarray) -> Callable:
         one = x.one[ask]
         data = np.zeros(len(ask), dtype=CONTEXTS)
         data["entry"], data["doc"], data["n"] = ask, x.low_doc[ask], x.end[one] - x.begin[one]
-        raw = x.buf[np.minimum(x.begin[one][:, None] + np.arange(SIDE + LENGTH), len(x.buf) - 1)]
         edges = np.searchsorted(x.part[ask], np.arange(parts + 1))
         some = np.flatnonzero(np.diff(edges))
-        pack = lambda a, b: np.uint32(b - a).tobytes() + data[a:b].tobytes() + raw[a:b].tobytes()
+        n = data["n"].astype(np.int64)
+        to = np.cumsum(n)
+        raw = x.buf[np.arange(to[-1]) + np.repeat(x.begin[one] - to + n, n)]
+        to = np.concatenate(([0], to))
+        pack = lambda a, b: np.uint32(b - a).tobytes() + data[a:b].tobytes() + raw[to[a] : to[b]].tobytes()
         return pd.DataFrame({"part": some.astype(np.int32), "bucket": key[0], "data": [pack(edges[p], edges[p + 1]) for p in some]}, columns=["part", "bucket", "data"])
 
     return run
@@ -213,25 +215,26 @@ def _repeats(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     for b in rows["data"]:
         n = int(np.frombuffer(b, "<u4", 1)[0])
         heads.append(np.frombuffer(b, CONTEXTS, n, 4))
-        raws.append(np.frombuffer(b, np.uint8, n * (SIDE + LENGTH), 4 + n * CONTEXTS.itemsize).reshape(n, -1))
+        raws.append(np.frombuffer(b, np.uint8, -1, 4 + n * CONTEXTS.itemsize))
     h, raw = np.concatenate(heads), np.concatenate(raws)
     owner = np.repeat(np.arange(len(heads)), [len(x) for x in heads])
-    n = h["n"].astype(np.int64)
-    wide = SIDE + LENGTH + 1
-    text = np.zeros((len(h), wide), dtype=np.uint16)
-    text[:, :-1] = np.where(np.arange(wide - 1) < n[:, None], raw.astype(np.uint16) + np.uint16(1), np.uint16(0))
-    text = text.ravel()
+    n = h["n"].astype(np.int32)
+    of = np.repeat(np.arange(len(h), dtype=np.int32), n + 1)  # each context, and a 0 behind it
+    start = np.cumsum(n + 1) - n - 1
+    inside = np.arange(len(of), dtype=np.int32) - start[of]
+    text = np.zeros(len(of), dtype=np.uint16)
+    text[inside < n[of]] = raw.astype(np.uint16) + np.uint16(1)
+    room = inside + LENGTH <= n[of]  # where a whole string starts
     sa = suffix_array(text)
-    room = (np.arange(wide) + LENGTH <= n[:, None]).ravel()  # where a whole string starts
     joins = common_prefixes(text, sa, 63, room)[sa] >= LENGTH
     run = np.cumsum(~joins) - 1
-    order = (owner * (1 << 15) + h["doc"])[sa // wide]
+    order = (owner * (1 << 15) + h["doc"])[of[sa]]
     usable = room[sa]
     least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, run[usable], order[usable])
     hit = sa[usable & (order > least[run])]
     mask = np.zeros(len(h), dtype=U)
-    np.bitwise_or.at(mask, hit // wide, U(1) << (hit % wide).astype(U))
+    np.bitwise_or.at(mask, of[hit], U(1) << inside[hit].astype(U))
     some = np.flatnonzero(mask)
     out = np.zeros(len(some), dtype=MASKS)
     out["entry"], out["mask"] = h["entry"][some], mask[some]
@@ -338,7 +341,8 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True, bound: int = HOT) -
     doc_id is earlier than all others. Further columns are not read.
     """
     spark = docs.sparkSession
-    parts = 2 * shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * shuffle_partitions(spark), size // PART)
     rows = docs.select("doc_id", "text", F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62))).alias("bucket"))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     hot = hot_grams(rows, bound)

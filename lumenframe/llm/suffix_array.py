@@ -14,16 +14,16 @@ import numpy as np
 from .shingles import U, powers, scramble
 
 
-def prefix_sums(t: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(t))
-    out = np.zeros(len(t) + 1, dtype=U)
-    np.cumsum((t.astype(U) + U(1)) * up, out=out[1:])
-    return out
+class RangeHashes:
+    """Hashes of ranges of a string, from prefix sums."""
 
+    def __init__(self, t: np.ndarray) -> None:
+        up, self.down = powers(len(t) + 1)
+        self.sums = np.zeros(len(t) + 1, dtype=U)
+        np.cumsum((t.astype(U) + U(1)) * up[: len(t)], out=self.sums[1:])
 
-def range_hash(sums: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    _, down = powers(len(sums))
-    return scramble((sums[start + length] - sums[start]) * down[start])
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return (self.sums[start + length] - self.sums[start]) * self.down[start]
 
 
 def _smaller(t: np.ndarray) -> np.ndarray:
@@ -122,8 +122,7 @@ def suffix_array(t: np.ndarray, alphabet: int = 257) -> np.ndarray:
         index = np.empty(n, dtype=np.int64)
         index[lms] = np.arange(len(lms))
         length = np.diff(np.append(lms, n - 1)) + 1
-        sums = prefix_sums(t)
-        held = range_hash(sums, lms, length) + length.astype(U)
+        held = scramble(RangeHashes(t).of(lms, length) + length.astype(U))
         ordered = held[index[rough]]
         names = np.empty(len(lms), dtype=np.int64)
         names[index[rough]] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
@@ -139,7 +138,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, where: np.ndarray
     n = len(t)
     before = np.full(n, -1, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
-    sums, shared = prefix_sums(t), np.zeros(n, dtype=np.int32)
+    hashes, shared = RangeHashes(t), np.zeros(n, dtype=np.int32)
     live = np.flatnonzero(before >= 0 if where is None else where & (before >= 0))
     other, found = before[live].astype(np.int64), np.zeros(len(live), dtype=np.int64)
     step = (most + 1) // 2
@@ -147,7 +146,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, where: np.ndarray
         a, b = live + found, other + found
         fits = np.maximum(a, b) + step <= n
         a, b = np.where(fits, a, 0), np.where(fits, b, 0)
-        found += step * (fits & (range_hash(sums, a, step) == range_hash(sums, b, step)) if step <= n else 0)
+        found += step * (fits & (hashes.of(a, step) == hashes.of(b, step)) if step <= n else 0)
         step >>= 1
     shared[live] = found
     return shared
