@@ -129,8 +129,37 @@ def test_mixing(spark):
     assert set(out.columns) == {*frame.columns, "copy_no", "shuffle_key"}
     again = mixing.mix_sources(frame, weights={"s0": 1, "s1": 3})
     assert again.exceptAll(out).count() == 0
-    wide, mixing.BROADCAST_SOURCES = mixing.BROADCAST_SOURCES, 0
+    wide, mixing.BROADCAST_DOUBLES = mixing.BROADCAST_DOUBLES, 0
     try:
         assert mixing.mix_sources(frame, weights={"s0": 1, "s1": 3}).exceptAll(out).count() == 0
     finally:
-        mixing.BROADCAST_SOURCES = wide
+        mixing.BROADCAST_DOUBLES = wide
+
+
+def brute_count(rate, u):
+    """Of a Poisson distribution, how many counts have a cumulated probability of u at most."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    p = below = (-Decimal(rate)).exp()
+    k = 0
+    while below <= u:
+        k += 1
+        p = p * Decimal(rate) / k
+        below += p
+    return k
+
+
+def test_counts_against_brute_force(spark):
+    """Small and steep rates, long texts, and a rate that a table from 0 on would not reach."""
+    texts = ["a" * 40_000, "b" * 50, "c" * 3, "d" * 400]
+    frame = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(frame, alpha=0.1)
+    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    w = [len(t) ** 0.1 for t in texts]
+    for i, t in enumerate(texts):
+        u = int(hashlib.md5(f"1:count|{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        assert got.get(i, 0) == brute_count(w[i] / sum(w) * sum(map(len, texts)) / len(t), u)
+    assert max(got.values()) > 2000
+    steep = frame.where("doc_id in (0, 2)").select("doc_id", F.when(F.col("doc_id") == 0, F.repeat(F.lit("x"), 12_000_000)).otherwise("y").alias("text"), "source")
+    assert 0.98 < mixing.mix_sources(steep, weights={"s2": 1, "s0": 11}).where("doc_id = 2").count() / 1_000_000 < 1.02
