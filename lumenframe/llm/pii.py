@@ -1,11 +1,14 @@
 """Personal data: expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Everything happens inside the row with SQL functions, so there is no shuffle and no Python. Match positions come from
-the pieces between matches: the k-th match starts after the first k pieces and the first k - 1 matches.
+the pieces between matches: the k-th match starts after the first k pieces and the first k - 1 matches. Running sums go
+in blocks of about the root of their number, so a text of very many spans costs little more than one of few.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +24,54 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Spans that the method adds: expression, start score, and the words that raise or lower the score when they stand near.
+#: For each kind: start score, and the words that raise or lower the score when they stand near.
+CONTEXT = {
+    "email": (0.8, r"mail|contact|write", r"example|test"),
+    "ip": (0.6, r"\bip\b|host|server|address|login", r"version|release|section"),
+    "card": (0.7, r"card|visa|credit|pay", r"order|invoice|part|test"),
+    "phone": (0.7, r"tel|phone|call|mobile|fax", r"order|invoice|part|test"),
+    "iban": (0.3, r"iban|bank|account|konto|cuenta|compte", r"test|example|sample"),
+    "ssn": (0.4, r"ssn|social|security|tax", r"order|invoice|part|test"),
+    "secret": (0.5, r"secret|private|prod|credential|login", r"example|dummy|placeholder|sample"),
+    "key": (0.8, r"key|secret|token", r"example|dummy|placeholder|sample"),
+}
+#: Spans that the method adds: named secrets with a value, and keys of known form, beside two numbers with rules of their own.
 ADDED = {
-    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", 0.3, r"iban|bank|account|konto|cuenta|compte", r"test|example|sample"),
-    "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.4, r"ssn|social|security|tax", r"order|invoice|part|test"),
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "secret": r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)[a-z_-]{0,20}[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[a-z0-9+/_.=-]{12,}+",
+    "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|[rs]k_live_[A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]*+)|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
+KINDS = {**BASE, **ADDED}
 #: What must occur in a text for an expression to be tried at all; a cheap scan.
-NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-CONTEXT_CHARS, CONTEXT_STEP, CHECKSUM_STEP, KEEP_FROM = 40, 0.3, 0.4, 0.6
+NEEDS = {
+    "email": lambda t: t.contains("@"),
+    "ip": lambda t: t.contains("."),
+    "card": lambda t: t.rlike("[0-9][0-9]|[0-9][ -][0-9]"),
+    "phone": lambda t: t.contains("+"),
+    "ssn": lambda t: t.contains("-"),
+    "secret": lambda t: t.contains("=") | t.contains(":"),
+}
+CONTEXT_CHARS, CONTEXT_STEP, CHECK_STEP, KEEP_FROM = 40, 0.3, 0.4, 0.6
+
+NO_SPANS = "array<struct<start:int,ord:int,kind:string,end:int,m:string,score:double>>"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-NO_SPANS = "array<struct<start:int,ord:int,kind:string,end:int,m:string>>"
+
+def _running(numbers: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or another ``op``) of an array with at least one number, each with its own one."""
+    plain = lambda a: F.aggregate(a, F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(F.when(F.size(out) > 0, op(F.element_at(out, -1), x)).otherwise(x))))
+
+    def blocks(a: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / width).cast("int") - 1), lambda i: plain(F.slice(a, i * width + 1, width)))
+        return _bound(parts, lambda p: _bound(plain(F.transform(p, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: op(F.get(ends, i - 1), y)))))))
+
+    return _bound(numbers, blocks)
 
 
 def _digits(m: Column) -> Column:
@@ -70,50 +111,66 @@ def _base_ok(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, kind: str, order: int, pattern: str) -> Column:
-    """All matches, leftmost first and not overlapping, as structs with start, end (code points, exclusive) and the string."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {NO_SPANS})").alias("out"))
+def _checked(kind: str, m: Column) -> Column:
+    """What the method's own check adds to the score of a kind."""
+    if kind == "iban":
+        return F.when(mod97_ok(m), CHECK_STEP).otherwise(-1.0)
+    if kind == "secret":  # a value of letters and digits is hardly a word
+        return F.when(m.rlike(r"(?i)[:=].*[0-9]") & m.rlike(r"(?i)[:=].*[a-z]"), 0.2).otherwise(-0.2)
+    return F.lit(0.0)
 
-    def step(s: Column, p: Column) -> Column:
-        a = s["at"] + p["g"]
-        b = a + F.char_length(p["m"])
-        one = F.struct(a.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), b.alias("end"), p["m"].alias("m"))
-        return F.struct(b.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    spans = F.aggregate(pairs, start, step, lambda s: s["out"])
-    need = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9][0-9]|[0-9][ -][0-9]")
-    return F.when(need & (F.size(found) > 0), spans).otherwise(F.expr(f"cast(array() as {NO_SPANS})"))
+def _spans(text: Column, kind: str) -> Column:
+    """All matches, leftmost first and not overlapping: start, ord, kind, end (code points, exclusive), m and score.
+
+    The words around a match are those between it and its neighbours of the same kind, 40 characters on each side at most.
+    """
+    pattern, order = KINDS[kind], list(KINDS).index(kind)
+    base, near, against = CONTEXT[kind]
+    none = F.expr(f"cast(array() as {NO_SPANS})")
 
+    def placed(x: Column) -> Column:
+        found, pieces = x["found"], x["pieces"]
+        sizes = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.char_length(p) + F.char_length(m))
+        rows = lambda ends: F.arrays_zip(found.alias("m"), ends.alias("end"), F.slice(pieces, 1, F.size(found)).alias("left"), F.slice(pieces, 2, F.size(found)).alias("right"))
 
-def _score(text: Column, kind: str, s: Column) -> Column:
-    _, base, near, against = ADDED[kind]
-    around = F.lower(F.substring(text, F.greatest(s["start"] + 1 - CONTEXT_CHARS, F.lit(1)), s["end"] - s["start"] + 2 * CONTEXT_CHARS))
-    checked = F.when(mod97_ok(s["m"]), CHECKSUM_STEP).otherwise(-1.0) if kind == "iban" else F.lit(0.0)
-    return F.lit(base) + checked + F.when(around.rlike(near), CONTEXT_STEP).otherwise(0.0) - F.when(around.rlike(against), CONTEXT_STEP).otherwise(0.0)
+        def one(r: Column) -> Column:
+            around = F.lower(F.concat(F.right(r["left"], F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(r["right"], F.lit(CONTEXT_CHARS))))
+            score = F.lit(base) + _checked(kind, r["m"]) + F.when(around.rlike(near), CONTEXT_STEP).otherwise(0.0) - F.when(around.rlike(against), CONTEXT_STEP).otherwise(0.0)
+            return F.struct((r["end"] - F.char_length(r["m"])).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), r["end"].alias("end"), r["m"].alias("m"), F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 2).alias("score"))
+
+        good = (lambda r: _base_ok(kind, r["m"])) if kind in BASE else (lambda r: F.lit(True))
+        spans = F.transform(F.filter(_running_sum(sizes, rows), good), one)
+        return F.when(F.size(found) > 0, spans).otherwise(none)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    told = _bound(both, placed)
+    told = F.when(NEEDS[kind](text), told).otherwise(none) if kind in NEEDS else told
+    return told if kind in BASE else F.filter(told, lambda s: s["score"] >= KEEP_FROM)
+
+
+def _running_sum(sizes: Column, use: Callable[[Column], Column]) -> Column:
+    return _bound(_running(sizes, lambda a, b: a + b), use)
+
+
+def _found(text: Column) -> tuple[Column, Column]:
+    base = F.array_sort(F.concat(*[_spans(text, k) for k in BASE]))
+    return base, F.concat(*[_spans(text, k) for k in ADDED])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``base_spans`` and ``pii_spans``: arrays of structs (start, ord, kind, end, m), by start and kind.
+    """``docs`` plus ``base_spans`` and ``pii_spans``: arrays of structs (start, ord, kind, end, m, score), by start and kind.
 
-    Base spans need only their own check. Added kinds begin with a score, gain or lose by checksum and by words within
-    40 characters, and stay from 0.6 upwards. A null or empty text has no spans. One row out for each row in; columns
-    of the two names are replaced, others pass through.
+    Base spans need only their own check. Added kinds begin with a score, gain or lose by their check and by words within
+    40 characters, and stay from 0.6 upwards; base spans carry a score as well, which decides nothing. A null or empty
+    text has no spans; a very long one, or one of very many spans, is taken whole. One row out for each row in, repeated
+    rows too, none for an empty table; columns of the two names are replaced, others pass through, whatever their names.
     """
-    text = F.col("_text")
-    sure = lambda kind: lambda s: _base_ok(kind, s["m"])
-    likely = lambda kind: lambda s: _score(text, kind, s) >= KEEP_FROM - 1e-9
-    base = F.concat(*[F.filter(_matches(text, k, i, p), sure(k)) for i, (k, p) in enumerate(BASE.items())])
-    more = F.concat(*[F.filter(_matches(text, k, len(BASE) + i, p[0]), likely(k)) for i, (k, p) in enumerate(ADDED.items())])
-    return (
-        docs.drop("base_spans", "pii_spans")
-        .withColumn("_text", text_or_empty())
-        .withColumn("base_spans", F.array_sort(base))
-        .withColumn("pii_spans", F.array_sort(F.concat("base_spans", more)))
-        .drop("_text")
-    )
+    docs = docs.drop("base_spans", "pii_spans")
+    rows = docs.select(F.struct("*").alias("row"), text_or_empty().alias("text"))
+    base, more = _found(F.col("text"))
+    rows = rows.select("row", base.alias("base_spans"), more.alias("more"))
+    return rows.select("row.*", "base_spans", F.array_sort(F.concat("base_spans", "more")).alias("pii_spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -121,19 +178,34 @@ def joined(spans: Column) -> Column:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of ``find_pii`` in the text replaced by ``<kind>``; of overlapping spans the earlier one counts."""
-    found = find_pii(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``docs`` with the spans of ``find_pii`` in the text replaced by ``<kind>``; of spans that overlap, one mark stands for all, of the first one's kind.
+
+    A null or empty text stays as it is; columns named like the spans are dropped, others pass through.
+    """
+    docs = docs.drop("base_spans", "pii_spans")
+    rows = find_pii(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "pii_spans", text_or_empty().alias("t"))
+
+    def masked(x: Column) -> Column:
+        chars, spans = x["chars"], x["spans"]
+        cut_out = lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")
+
+        def written(upto: Column) -> Column:
+            before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(upto, i - 1))
+            marks = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(cut_out(before(i), s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(""))
+            return F.concat(F.array_join(marks, ""), cut_out(F.element_at(upto, -1), F.size(chars)))
 
-    def step(s: Column, p: Column) -> Column:
-        piece = F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, p["start"] - s["at"]), F.lit("<"), p["kind"], F.lit(">"))
-        take = p["start"] >= s["at"]
-        return F.struct(F.when(take, p["end"]).otherwise(s["at"]).alias("at"), F.when(take, piece).otherwise(s["out"]).alias("out"))
+        return _bound(_running(F.transform(spans, lambda s: s["end"]), F.greatest), written)
 
-    masked = F.aggregate("pii_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.char_length(F.col("text")))))
-    return found.withColumn("text", masked).drop("base_spans", "pii_spans")
+    new = F.when(F.size("pii_spans") > 0, _bound(F.struct(F.split("t", "").alias("chars"), F.col("pii_spans").alias("spans")), masked)).otherwise(F.col("row.text"))
+    return rows.select("row", new.alias("t")).select(*[F.col("t").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return find_pii(docs.select("doc_id", "text")).select("doc_id", *map(count, BASE), F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+    """The query's rows; further columns: the numbers of the added kinds and of all spans, and the score of each span."""
+    count = lambda of, kind: F.size(F.filter(of, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    found = find_pii(docs.select("doc_id", "text"))
+    scores = F.array_join(F.transform("pii_spans", lambda s: s["score"].cast("string")), ",")
+    return found.select(
+        "doc_id", *[count("base_spans", k) for k in BASE], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"),
+        *[count("pii_spans", k) for k in ADDED], F.size("pii_spans").cast("bigint").alias("n_spans"), scores.alias("scores"),
+    )
