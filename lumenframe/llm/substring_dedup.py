@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import Scratch, cut, shuffle_partitions
 from .shingles import U, powers, scramble
 from .suffix_array import common_prefixes, suffix_array
 
@@ -39,7 +39,7 @@ BUCKET = 128
 POSITION = (1 << 28) - 1
 SEGMENT = 1 << 22  # longer texts are worked on in segments of so many bytes
 PART = 4 << 20  # bytes of text whose anchors meet in one part, about
-HOT, SAMPLE = 1 << 14, 16  # entries from which a gram is split; one group of so many is counted
+HOT, SAMPLE = 1 << 15, 16  # entries from which a gram is split; one group of so many is counted
 FEW, OFTEN = 200_000, 4096  # so many repeated strings are broadcast; else those in more entries than OFTEN
 
 ENTRIES = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<u2"), ("l", "<u2"), ("r", "<u2")])
@@ -184,26 +184,35 @@ def _flags(x: Anchors, rows: pd.DataFrame) -> np.ndarray:
     return flags
 
 
+#: What a group sends in the second pass: contexts to the shards, and, with part -1, the strings of hot grams.
+ASKED = "part int, bucket long, data binary, entry array<long>, k array<int>, gram array<long>, string array<long>, doc array<long>"
+NAMES = [x.split()[0] for x in ASKED.split(", ")]
+
+
 def _contexts(parts: int, hot: np.ndarray) -> Callable:
     def run(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"part": pd.Series(dtype=np.int32), "bucket": pd.Series(dtype=np.int64), "data": pd.Series(dtype=object)})
-        if not len(docs) or not len(replies):
+        out = pd.DataFrame(columns=NAMES)
+        if not len(docs) or not (len(replies) or len(hot)):
             return out
-        x = _group(key, _sorted(docs), parts, hot)
+        docs = _sorted(docs)
+        x = _group(key, docs, parts, hot)
+        rows = []
         ask = np.flatnonzero(_flags(x, replies) & UNSURE)
-        if not len(ask):
-            return out
-        one = x.one[ask]
-        data = np.zeros(len(ask), dtype=CONTEXTS)
-        data["entry"], data["doc"], data["n"] = ask, x.low_doc[ask], x.end[one] - x.begin[one]
-        edges = np.searchsorted(x.part[ask], np.arange(parts + 1))
-        some = np.flatnonzero(np.diff(edges))
-        n = data["n"].astype(np.int64)
-        to = np.cumsum(n)
-        raw = x.buf[np.arange(to[-1]) + np.repeat(x.begin[one] - to + n, n)]
-        to = np.concatenate(([0], to))
-        pack = lambda a, b: np.uint32(b - a).tobytes() + data[a:b].tobytes() + raw[to[a] : to[b]].tobytes()
-        return pd.DataFrame({"part": some.astype(np.int32), "bucket": key[0], "data": [pack(edges[p], edges[p + 1]) for p in some]}, columns=["part", "bucket", "data"])
+        if len(ask):
+            one = x.one[ask]
+            data = np.zeros(len(ask), dtype=CONTEXTS)
+            data["entry"], data["doc"], data["n"] = ask, x.low_doc[ask], x.end[one] - x.begin[one]
+            edges = np.searchsorted(x.part[ask], np.arange(parts + 1))
+            n = data["n"].astype(np.int64)
+            to = np.cumsum(n)
+            raw = x.buf[np.arange(to[-1]) + np.repeat(x.begin[one] - to + n, n)]
+            to = np.concatenate(([0], to))
+            for p in np.flatnonzero(np.diff(edges)):
+                a, b = edges[p], edges[p + 1]
+                rows.append((p, key[0], np.uint32(b - a).tobytes() + data[a:b].tobytes() + raw[to[a] : to[b]].tobytes(), *[None] * 5))
+        if (x.part == parts).any():
+            rows.append((-1, key[0], None, *_strings(x, docs, parts)))
+        return pd.DataFrame(rows, columns=NAMES) if rows else out
 
     return run
 
@@ -256,25 +265,19 @@ def hot_grams(rows: DataFrame, bound: int) -> np.ndarray:
     return np.array([r.gram for r in found], dtype=np.int64).view(U)
 
 
-def _strings(parts: int, hot: np.ndarray) -> Callable:
-    """Each string in a context of a hot gram, by gram and hash, with the smallest document of the group that has the context."""
-
-    def run(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
-        docs = _sorted(docs)
-        x = _group(key, docs, parts, hot)
-        ask = np.flatnonzero(x.part == parts)
-        one = x.one[ask]
-        n = x.end[one] - x.begin[one]
-        raw = x.buf[np.minimum(x.begin[one][:, None] + np.arange(SIDE + LENGTH), len(x.buf) - 1)]
-        up, down = powers(SIDE + LENGTH + 1)
-        sums = np.zeros((len(ask), SIDE + LENGTH + 1), dtype=U)
-        np.cumsum((raw.astype(U) + U(1)) * up[: SIDE + LENGTH], axis=1, out=sums[:, 1:])
-        h = scramble((sums[:, LENGTH:] - sums[:, : SIDE + 1]) * down[: SIDE + 1])
-        i, k = np.nonzero(np.arange(SIDE + 1) + LENGTH <= n[:, None])
-        low = np.unique(docs["doc_id"].to_numpy())[x.low_doc[ask]]
-        return pd.DataFrame({"bucket": np.full(len(i), key[0], np.int64), "entry": ask[i], "k": k.astype(np.int32), "gram": x.gram[ask][i].view(np.int64), "string": h[i, k].view(np.int64), "doc": low[i]})
-
-    return run
+def _strings(x: Anchors, docs: pd.DataFrame, parts: int) -> tuple[np.ndarray, ...]:
+    """Each string in a context of a hot gram: entry, place, gram, hash, and the smallest document of the group that has the context."""
+    ask = np.flatnonzero(x.part == parts)
+    one = x.one[ask]
+    n = x.end[one] - x.begin[one]
+    raw = x.buf[np.minimum(x.begin[one][:, None] + np.arange(SIDE + LENGTH), len(x.buf) - 1)]
+    up, down = powers(SIDE + LENGTH + 1)
+    sums = np.zeros((len(ask), SIDE + LENGTH + 1), dtype=U)
+    np.cumsum((raw.astype(U) + U(1)) * up[: SIDE + LENGTH], axis=1, out=sums[:, 1:])
+    h = scramble((sums[:, LENGTH:] - sums[:, : SIDE + 1]) * down[: SIDE + 1])
+    i, k = np.nonzero(np.arange(SIDE + 1) + LENGTH <= n[:, None])
+    low = np.unique(docs["doc_id"].to_numpy())[x.low_doc[ask]]
+    return ask[i], k.astype(np.int32), x.gram[ask][i].view(np.int64), h[i, k].view(np.int64), low[i]
 
 
 def _masks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -283,11 +286,12 @@ def _masks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [key[0]], "kind": np.int32(1), "data": [out.tobytes()]})
 
 
-def _split(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+def _split(asked: DataFrame, scratch: Scratch) -> DataFrame:
     """The masks of hot grams' contexts, as ``_repeats`` gives them for the others."""
-    strings = rows.groupBy("bucket").applyInPandas(_strings(parts, hot), "bucket long, entry long, k int, gram long, string long, doc long")
+    listed = asked.where("part = -1").select("bucket", F.arrays_zip("entry", "k", "gram", "string", "doc").alias("x"))
+    strings = listed.select("bucket", F.inline("x"))
     of = ["gram", "string"]
-    least = cut(strings.groupBy(*of).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"))
+    least = scratch.cut(strings.groupBy(*of).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"))
     if least.count() <= FEW:
         met = strings.join(F.broadcast(least), of)
     else:  # a string in many entries is not dealt out by its hash
@@ -334,26 +338,27 @@ def _remove(parts: int, hot: np.ndarray) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = True, bound: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, bound: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), one row for each row of ``docs``.
 
     A null or empty text has nothing to remove. Rows that share a doc_id are one document: neither is earlier. A null
-    doc_id is earlier than all others. Further columns are not read.
+    doc_id is earlier than all others. Very long texts are taken whole, in segments; an empty table gives no rows.
+    Further columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(2 * shuffle_partitions(spark), size // PART)
+    parts = max(shuffle_partitions(spark), size // PART)
     rows = docs.select("doc_id", "text", F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62))).alias("bucket"))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     hot = hot_grams(rows, bound)
-    sent = rows.groupBy("bucket").applyInPandas(_send(parts, hot), "part int, bucket long, first long, entries binary")
-    replies = sent.groupBy("part").applyInPandas(_meet, "bucket long, kind int, data binary")
     by_bucket = rows.groupBy("bucket")
-    contexts = by_bucket.cogroup(replies.groupBy("bucket")).applyInPandas(_contexts(parts, hot), "part int, bucket long, data binary")
-    repeats = contexts.groupBy("part").applyInPandas(_repeats, "bucket long, kind int, data binary")
-    told = replies.unionByName(repeats)
-    if len(hot):
-        told = told.unionByName(_split(rows, parts, hot))
+    sent = by_bucket.applyInPandas(_send(parts, hot), "part int, bucket long, first long, entries binary")
+    replies = cut(sent.groupBy("part").applyInPandas(_meet, "bucket long, kind int, data binary"))
+    with Scratch(spark) as scratch:
+        asked = scratch.cut(by_bucket.cogroup(replies.groupBy("bucket")).applyInPandas(_contexts(parts, hot), ASKED))
+        masks = asked.where("part >= 0").groupBy("part").applyInPandas(_repeats, "bucket long, kind int, data binary")
+        masks = cut(masks.unionByName(_split(asked, scratch)) if len(hot) else masks)
+    told = replies.unionByName(masks)
     out = by_bucket.cogroup(told.groupBy("bucket")).applyInPandas(_remove(parts, hot), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
 

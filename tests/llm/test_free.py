@@ -198,6 +198,26 @@ def test_substring_dedup(spark, sf_dir):
     assert both == {None: 0, 1: 60}
 
 
+def test_substring_dedup_of_hot_grams_and_long_texts(spark, monkeypatch):
+    """One line in hundreds of different contexts, split by strings; and texts longer than a segment."""
+    r = random.Random(6)
+    prose = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    line = prose(45)
+    texts = [prose(30) + (line if i % 2 else line[:40] + prose(60)) + prose(r.choice([3, 4, 40])) + line * (i % 3) for i in range(200)]
+    texts += [x[:90] for x in texts[:50]]
+    ids = [128 * i for i in range(len(texts))]
+    hot = []
+    found = substring_dedup.hot_grams
+    monkeypatch.setattr(substring_dedup, "hot_grams", lambda rows, bound: hot.append(found(rows, bound)) or hot[-1])
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 70)
+    for bound in (32, substring_dedup.HOT):
+        got = defaultdict(list)
+        for x in substring_dedup.remove_repeats(docs(spark, texts, ids), bound).withColumn("kept", F.sha2("kept", 256)).collect():
+            got[x.doc_id].append((x.n_bytes, x.n_removed, x.n_spans, x.kept))
+        assert {i: sorted(x) for i, x in got.items()} == brute_removed(ids, texts)
+    assert len(hot[0]) and not len(hot[1])
+
+
 def test_packing(spark, sf_dir):
     path, ranks = tokenizer_paths()
     odd = [None, "", "a  b\n\n c\u00a0 d ", " lead", "don't I'LL 12 34  \t\n x", "<|endoftext|>", "é" * 3000, "\n" * 1500, *some_texts(60)]
