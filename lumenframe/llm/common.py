@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,19 +48,6 @@ def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there, so that a lost executor costs nothing that lies before it.
-
-    For what a returned DataFrame reads: Spark deletes the files when nothing refers to them any more, where the cluster
-    sets spark.cleaner.referenceTracking.cleanCheckpoints.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    with shuffles_deleted(df.sparkSession):
-        return df.checkpoint()
-
-
 class Scratch:
     """Tables in the shared folder that an operator needs only while it runs; they go one by one, or all with the block."""
 
@@ -89,3 +76,22 @@ class Scratch:
 
     def __exit__(self, *_: object) -> None:
         self._delete(self.top)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so that a lost executor costs nothing that lies before it.
+
+    For what a returned DataFrame reads: Spark deletes the files when nothing refers to them any more, where the cluster
+    sets spark.cleaner.referenceTracking.cleanCheckpoints. The rows pass a scratch table first, as only a write deletes
+    its shuffle files.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    with Scratch(df.sparkSession) as scratch:
+        return scratch.cut(df).checkpoint()
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -16,9 +16,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import bound, cut, text_or_empty
 
-#: Shorter lines are only compared for equality: one edit in them is a large change.
+#: Default of the parameter ``min_near_chars``: shorter lines are only compared for equality, as one edit in them is a large
+#: change ("Page 1" and "Page 2").
 MIN_NEAR_CHARS = 16
 BLOCK = 48
 STEP = 1.25
@@ -94,42 +95,49 @@ def near_links(uniq: DataFrame, firsts: DataFrame) -> DataFrame:
     return met.groupBy("h1", "h2").agg(F.min("o.first").alias("near"))
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
     """One row per line: doc_id, dkey (hash of the text), line_no, n_chars (trimmed), keeper_doc_id, keeper_line_no, kept.
 
     A line is kept if no earlier line, by (doc_id, text hash, line_no), is within one edit of it after tabs and carriage
-    returns became spaces and the ends were trimmed; lines under 16 characters must be equal. Lines are judged on the
-    input, not on what is left. The keeper is the earliest line within the bound. Blank lines are kept and keep
-    themselves. A null text is one blank line. Rows that repeat both doc_id and text get the same decisions.
+    returns became spaces and the ends were trimmed; lines under ``min_near_chars`` characters must be equal. Lines are
+    judged on the input, not on what is left. The keeper is the earliest line within the bound. Blank lines are kept and
+    keep themselves. A null text is one blank line. A null doc_id is earlier than all others. Rows that repeat both doc_id
+    and text get the same decisions. An empty table gives no rows; very long lines are compared whole. Further columns are
+    not read, whatever their names.
     """
     lines = _lines(docs)
     real = lines.where("n > 0")
     here = F.struct("doc_id", "dkey", "line_no")
-    long = real.where(F.col("n") >= MIN_NEAR_CHARS)
+    long = real.where(F.col("n") >= min_near_chars)
     uniq = long.groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
     firsts = real.groupBy("h1", "h2").agg(F.min(here).alias("first"))
     links = near_links(uniq, firsts)
     classes = firsts.join(links, ["h1", "h2"], "left")
     best = F.least("first", F.coalesce("near", "first"))
-    classes = classes.select("h1", "h2", best.alias("keeper"))
-    out = lines.drop("norm").join(classes, ["h1", "h2"], "left")
+    classes = cut(classes.select("h1", "h2", best.alias("keeper")))  # a table of its own, so that the join can split a common line
     blank = F.col("n") == 0
+    spread = lines.drop("norm").withColumn("h1", F.when(blank, F.xxhash64("dkey", "line_no")).otherwise(F.col("h1")))  # blank lines meet nothing
+    out = spread.join(classes, ["h1", "h2"], "left")
     keeper = F.when(blank, here).otherwise(F.col("keeper"))
     return out.select("doc_id", "dkey", "line_no", F.col("n").cast("bigint").alias("n_chars"), keeper["doc_id"].alias("keeper_doc_id"), keeper["line_no"].alias("keeper_line_no"), keeper.eqNullSafe(here).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
     """``docs`` without the lines that ``line_classes`` does not keep; documents that lose all their lines are dropped.
 
-    Documents that had no line with text before are left as they are. Columns pass through unchanged, text excepted.
+    Documents that had no line with text before are left as they are; an empty table stays empty. Columns pass through
+    unchanged, whatever their names, text excepted.
     """
-    gone = line_classes(docs).where("not kept").groupBy(F.col("doc_id").alias("_id"), F.col("dkey").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-    docs = docs.withColumn("_dkey", F.xxhash64(text_or_empty()))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (docs["_dkey"] == gone["_key"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    out = out.where(F.col("_gone").isNull() | (F.trim(F.regexp_replace("text", r"[\n\t\r]", " ")) != ""))
-    return out.drop("_dkey", "_id", "_key", "_gone")
+    gone = line_classes(docs, min_near_chars).where("not kept").groupBy(F.col("doc_id").alias("of"), F.col("dkey").alias("key")).agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("dkey"))
+    met = rows.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("dkey") == F.col("key")), "left")
+    cuts = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.lit(1 << 30)))
+    parts = F.struct(F.split("row.text", "\n").alias("lines"), cuts.alias("cuts"))
+    run = lambda x, i: F.slice(x["lines"], F.get(x["cuts"], i) + 2, F.get(x["cuts"], i + 1) - F.get(x["cuts"], i) - 1)  # noqa: E731  lines between two that go
+    left = bound(parts, lambda x: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["cuts"]) - 2), lambda i: run(x, i))), "\n"))
+    met = met.withColumn("text", F.when(F.col("gone").isNotNull(), left))
+    out = met.where(F.col("gone").isNull() | (F.trim(F.regexp_replace("text", r"[\n\t\r]", " ")) != ""))
+    return out.select(F.when(F.col("gone").isNull(), F.col("row")).otherwise(F.col("row").withField("text", F.col("text"))).alias("row")).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

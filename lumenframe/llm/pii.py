@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bound, text_or_empty
 
 # The base expressions, in the order in which kinds are listed. Quantifiers are possessive where the next
 # part cannot begin with what they take, so long runs need neither backtracking nor stack; "\G or no such character
@@ -57,11 +57,6 @@ CONTEXT_CHARS, CONTEXT_STEP, CHECK_STEP, KEEP_FROM = 40, 0.3, 0.4, 0.6
 NO_SPANS = "array<struct<start:int,ord:int,kind:string,end:int,m:string,score:double>>"
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it occurs there."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _running(numbers: Column, op: Callable[[Column, Column], Column]) -> Column:
     """Running sums (or another ``op``) of an array with at least one number, each with its own one."""
     plain = lambda a: F.aggregate(a, F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(F.when(F.size(out) > 0, op(F.element_at(out, -1), x)).otherwise(x))))
@@ -69,9 +64,9 @@ def _running(numbers: Column, op: Callable[[Column, Column], Column]) -> Column:
     def blocks(a: Column) -> Column:
         width = F.ceil(F.sqrt(F.size(a))).cast("int")
         parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / width).cast("int") - 1), lambda i: plain(F.slice(a, i * width + 1, width)))
-        return _bound(parts, lambda p: _bound(plain(F.transform(p, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: op(F.get(ends, i - 1), y)))))))
+        return bound(parts, lambda p: bound(plain(F.transform(p, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: op(F.get(ends, i - 1), y)))))))
 
-    return _bound(numbers, blocks)
+    return bound(numbers, blocks)
 
 
 def _digits(m: Column) -> Column:
@@ -144,13 +139,13 @@ def _spans(text: Column, kind: str) -> Column:
         return F.when(F.size(found) > 0, spans).otherwise(none)
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
-    told = _bound(both, placed)
+    told = bound(both, placed)
     told = F.when(NEEDS[kind](text), told).otherwise(none) if kind in NEEDS else told
     return told if kind in BASE else F.filter(told, lambda s: s["score"] >= KEEP_FROM)
 
 
 def _running_sum(sizes: Column, use: Callable[[Column], Column]) -> Column:
-    return _bound(_running(sizes, lambda a, b: a + b), use)
+    return bound(_running(sizes, lambda a, b: a + b), use)
 
 
 def _found(text: Column) -> tuple[Column, Column]:
@@ -194,9 +189,9 @@ def mask_pii(docs: DataFrame) -> DataFrame:
             marks = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(cut_out(before(i), s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(""))
             return F.concat(F.array_join(marks, ""), cut_out(F.element_at(upto, -1), F.size(chars)))
 
-        return _bound(_running(F.transform(spans, lambda s: s["end"]), F.greatest), written)
+        return bound(_running(F.transform(spans, lambda s: s["end"]), F.greatest), written)
 
-    new = F.when(F.size("pii_spans") > 0, _bound(F.struct(F.split("t", "").alias("chars"), F.col("pii_spans").alias("spans")), masked)).otherwise(F.col("row.text"))
+    new = F.when(F.size("pii_spans") > 0, bound(F.struct(F.split("t", "").alias("chars"), F.col("pii_spans").alias("spans")), masked)).otherwise(F.col("row.text"))
     return rows.select("row", new.alias("t")).select(*[F.col("t").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -89,6 +89,33 @@ def test_lines(spark):
     assert line_dedup.digest(docs(spark, ["same text here", "same text here"], [None, None])).where("kept").count() == 2  # equal rows, equal decisions
 
 
+def test_lines_in_great_number(spark):
+    """Many lines of one text go in one pass, and what is left keeps its order."""
+    n = 60_000
+    text = "\n".join(["the same line of some length"] * n + ["another line of some length", "the same line of some length", "", "end"])
+    out = line_dedup.dedup_lines(docs(spark, [text, "an early text"], [5, 4])).orderBy("doc_id").collect()
+    assert [r.text for r in out] == ["an early text", "the same line of some length\nanother line of some length\n\nend"]
+    assert line_dedup.line_classes(docs(spark, ["a cat", "a cut"]), min_near_chars=3).where("kept").count() == 1
+
+
+CLASHES = "_gone _id _key _dkey _cdf _source _n _text _told row id of key dkey gone lines cuts text_ t doc h1 h2 n mix_source low cdf copy spans more base fp bucket node label component score present page host trust distrust x y".split()
+
+
+def test_no_operator_trips_over_names(spark):
+    """A table with every name that an operator uses inside keeps all its columns and values."""
+    from lumenframe.llm import media, minhash, toxicity
+
+    frame = docs(spark, ["one line here\nand a second one", "mail a@b.co now", None], [1, 2, 3]).withColumns({c: F.lit(f"v {c}") for c in CLASHES})
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for out in (line_dedup.dedup_lines(frame), mixing.mix_sources(frame, epochs=9.0), pii.find_pii(frame), pii.mask_pii(frame), minhash.drop_near_duplicates(frame), toxicity.drop_toxic(frame, labels)):
+        assert set(frame.columns) <= set(out.columns)
+        assert out.count() > 0 and all(r[c] == f"v {c}" for r in out.collect() for c in CLASHES)
+    raw = frame.withColumn("body", F.lit(b"x").cast("binary"))
+    assert all(r[c] == f"v {c}" for r in media.type_media(raw, "body", "lang").collect() for c in CLASHES)
+    for digest in (line_dedup.digest, fingerprints.digest, pii.digest, minhash.near_duplicates, media.digest):
+        assert sorted(map(str, digest(frame).collect())) == sorted(map(str, digest(frame.select("doc_id", "text")).collect()))
+
+
 def brute_simhash(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     votes = [0] * 64
