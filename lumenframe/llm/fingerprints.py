@@ -16,8 +16,8 @@ from .common import SPACES, cut, text_or_empty
 
 LANES = 32
 LANE_ONES = (1 << 32) | 1
-#: Documents whose ids agree in all but the last bits are ordered in one task; so many of those groups in the next one.
-BUCKET, SUPER = 256, 65_536
+#: Documents whose ids agree in all but the last bits are ordered in one task.
+BUCKET = 256
 
 
 def _terms(text: Column) -> Column:
@@ -53,13 +53,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Rows of (bucket, rn, is_tail, doc_id, text, next_text): each document beside the next by doc_id, the last beside the first.
 
     Ids are dealt by range into buckets, each ordered by itself. What follows a bucket's last document is the head of the
-    next bucket that exists, appended as a row with is_tail; the order of buckets is found in groups of 65,536.
+    next bucket that exists, appended as a row with is_tail. Buckets are dealt by range into the shuffle's partitions and
+    ordered there; only one row of each partition is ordered in one task, however sparse the ids are.
     """
     base = docs.select(F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62))).alias("bucket"), "doc_id", text_or_empty().alias("text"))
     heads = base.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("head"))
-    order = base.select("bucket").distinct().withColumn("super", F.floor(F.col("bucket") / SUPER))
+    order = cut(base.select("bucket").distinct().repartitionByRange("bucket").withColumn("super", F.spark_partition_id()))
     supers = order.groupBy("super").agg(F.min("bucket").alias("low"))
-    wrap = Window.orderBy("super")  # one row for each 2^24 ids
+    wrap = Window.orderBy("super")  # one row for each partition
     supers = supers.select("super", F.coalesce(F.lead("low").over(wrap), F.min("low").over(Window.partitionBy())).alias("after"))
     inside = order.withColumn("following", F.lead("bucket").over(Window.partitionBy("super").orderBy("bucket")))
     following = inside.join(supers, "super").select("bucket", F.coalesce("following", "after").alias("following"))
@@ -111,7 +112,9 @@ def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3) -> DataFr
 def digest(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The query's rows. ``n_within``: for doc_ids divisible by 100, the documents within the radius (itself included); else null.
 
-    A null text counts as empty; fingerprints of texts without words are 0; rows with equal doc_id are ordered by text.
+    A null text counts as empty; fingerprints of texts without words are 0; very long texts count whole. Rows with equal
+    doc_id are ordered by text, a null doc_id comes first; an empty table gives no rows; further columns are not read,
+    whatever their names.
     """
     fps = cut(fingerprint_pairs(docs))
     asked = fps.where(F.col("doc_id") % 100 == 0)

@@ -11,6 +11,7 @@ piece's rank says which use of which pattern it fills, so sequence and offset co
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 import zlib
@@ -21,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffle_partitions
 
 CAPACITY, GRAIN = 1024, 16
 END = np.array([0], dtype="<u4").tobytes()
-#: Pieces of a kind are numbered in so many shards, each in one task, joined by the shards' counts.
-SHARDS = 256
+#: Pieces of a kind are numbered in shards of about so many, each in one task, joined by the shards' counts.
+SHARD_ROWS = 1_000_000
 #: Distinct words whose ids a worker keeps; the table starts anew when full.
 CACHED_WORDS = 1_000_000
 
@@ -37,12 +38,14 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _encoder(path: str, ranks_path: str | None) -> Callable[[str], list[int]]:
-    """Ids of a text. The same vocabulary as ranks, where given, is several times as fast; tests hold the two equal."""
+    """Ids of a text, as the tokenizer file gives them without special tokens added; one that stands in the text is its id.
+
+    The same vocabulary as ranks, where given, is several times as fast; tests hold the two equal.
+    """
     if ranks_path is None:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         return lambda text: t.encode(text, add_special_tokens=False).ids
     import tiktoken
 
@@ -50,7 +53,19 @@ def _encoder(path: str, ranks_path: str | None) -> Callable[[str], list[int]]:
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    if not special:
+        return encode
+    between = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+
+    def run(text: str) -> list[int]:
+        if not between.search(text):
+            return encode(text)
+        return [i for p in between.split(text) if p for i in ([special[p]] if p in special else encode(p))]
+
+    return run
 
 
 def token_bytes(encode: Callable[[str], list[int]]) -> Callable[[str], bytes]:
@@ -128,19 +143,23 @@ def _best_pattern(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.n
     return counts
 
 
-def solve_patterns(lengths: np.ndarray, need: np.ndarray, capacity: int = CAPACITY, steps: int = 3000) -> list[tuple[np.ndarray, int]]:
+def solve_patterns(lengths: np.ndarray, need: np.ndarray, capacity: int = CAPACITY, steps: int = 20_000) -> list[tuple[np.ndarray, int]]:
     """(counts by kind, uses) such that the uses hold exactly ``need`` pieces of each kind."""
     k = len(lengths)
     if not k:
         return []
     basis = np.diag(capacity // lengths).astype(float)
     held = need / np.diag(basis)
-    for _ in range(steps):
+    steps_left = steps
+    while True:
         inverse = np.linalg.inv(basis)
         duals = inverse.sum(axis=0)  # every pattern costs one sequence
         new = _best_pattern(lengths, duals, capacity)
         if duals @ new <= 1 + 1e-7:
             break
+        steps_left -= 1
+        if not steps_left:
+            raise RuntimeError("column generation did not settle")
         held = np.maximum(inverse @ need, 0)
         by = inverse @ new
         ratio = np.where(by > 1e-9, held / np.where(by > 1e-9, by, 1), np.inf)
@@ -188,12 +207,13 @@ def pack(pieces: DataFrame) -> DataFrame:
                 offset += each * length
         first += uses
     table = spark.createDataFrame(rows, "length long, low long, high long, each long, first long, begin long")
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SHARDS))
+    shards = max(shuffle_partitions(spark), max(counts.values(), default=0) // SHARD_ROWS + 1)
+    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))
     sharded = pieces.withColumn("shard", shard)
     sizes = sharded.groupBy("length", "shard").agg(F.count("*").alias("n"))
     before = sizes.select("length", "shard", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = sharded.withColumn("rn", F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "shard"]).withColumn("rank", F.col("before") + F.col("rn"))  # at most 79 * 256 rows
+    ranked = ranked.join(F.broadcast(before), ["length", "shard"]).withColumn("rank", F.col("before") + F.col("rn"))  # at most 79 rows for each million pieces, or for each shuffle partition
     placed = ranked.join(F.broadcast(table), "length").where("rank >= low and rank < high")  # some hundred rows, by the count of lengths
     local = F.col("rank") - F.col("low")
     sequence = F.col("first") + F.floor(local / F.col("each"))
@@ -202,6 +222,9 @@ def pack(pieces: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, ranks_path: str | None = None) -> DataFrame:
-    """All documents' pieces with their places. A null or empty text is the end id alone; rows that share a doc_id are packed
-    each for itself; an empty table packs nothing; further columns are not read."""
+    """All documents' pieces with their places.
+
+    A null or empty text is the end id alone; a very long one is cut into many pieces; rows that share a doc_id, or repeat
+    or lack it, are packed each for itself; an empty table packs nothing; further columns are not read, whatever their names.
+    """
     return pack(cut(cut_documents(docs, path, ranks_path)))

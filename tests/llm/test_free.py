@@ -220,13 +220,12 @@ def test_substring_dedup_of_hot_grams_and_long_texts(spark, monkeypatch):
 
 def test_packing(spark, sf_dir):
     path, ranks = tokenizer_paths()
-    odd = [None, "", "a  b\n\n c\u00a0 d ", " lead", "don't I'LL 12 34  \t\n x", "<|endoftext|>", "é" * 3000, "\n" * 1500, *some_texts(60)]
+    odd = [None, "", "a  b\n\n c\u00a0 d ", " lead", "don't I'LL 12 34  \t\n x", "<|endoftext|>", "a <|endoftext|> b", "x  <|endoftext|><|endoftext|>\n y <|endoftext", "é" * 3000, "\n" * 1500, *some_texts(60)]
     frame = docs(spark, odd).select("doc_id", "text").union(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id") + 5000, "text"))
     rows = packing.pack_documents(frame, path, ranks).collect()
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     whole = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 0] for r in frame.collect()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -342,19 +341,44 @@ def test_url_filter(spark):
     assert url_filter.judge_pages(rows.limit(0)).count() == 0
 
 
-def test_propagation_against_brute_force(spark):
-    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 2.0), ("d", "c", 1.0)]
-    seeds = {"a": (1.0, 0.0), "c": (0.0, 1.0)}
-    trust, bad = {k: v[0] for k, v in seeds.items()}, {k: v[1] for k, v in seeds.items()}
-    for _ in range(7):
+def brute_scores(edges, seeds, rounds=400):
+    trust, bad = {k: 0.15 * v[0] for k, v in seeds.items()}, {k: 0.15 * v[1] for k, v in seeds.items()}
+    out, into = defaultdict(float), defaultdict(float)
+    for s, d, w in edges:
+        out[s] += w
+        into[d] += w
+    for _ in range(rounds):
         t, q = defaultdict(float), defaultdict(float)
         for k, v in seeds.items():
             t[k] += 0.15 * v[0]
             q[k] += 0.15 * v[1]
         for s, d, w in edges:
-            t[d] += 0.85 * trust.get(s, 0) * w / sum(x[2] for x in edges if x[0] == s)
-            q[s] += 0.85 * bad.get(d, 0) * w / sum(x[2] for x in edges if x[1] == d)
+            t[d] += 0.85 * trust.get(s, 0) * w / out[s]
+            q[s] += 0.85 * bad.get(d, 0) * w / into[d]
         trust, bad = t, q
-    got = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([(k, *v) for k, v in seeds.items()], "host string, good double, bad double"), rounds=7).collect()
+    return trust, bad
+
+
+def test_propagation_against_brute_force(spark):
+    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 2.0), ("d", "c", 1.0), ("e", "f", 1.0)]
+    edges += [(f"h{i}", f"h{i + 1}", 1.0) for i in range(30)] + [("c", "h0", 0.1)]
+    seeds = {"a": (1.0, 0.0), "c": (0.0, 1.0)}
+    trust, bad = brute_scores(edges, seeds)
+    with Scratch(spark) as scratch:
+        got = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([(k, *v) for k, v in seeds.items()], "host string, good double, bad double"), scratch).collect()
+    assert {r.host for r in got} >= {"h20", "d"}
     for r in got:
-        assert abs(r.trust - trust.get(r.host, 0)) < 1e-9 and abs(r.distrust - bad.get(r.host, 0)) < 1e-9
+        assert abs(r.trust - trust.get(r.host, 0)) < 1e-4 and abs(r.distrust - bad.get(r.host, 0)) < 1e-4
+
+
+def test_verdicts_of_pages_without_rule(spark):
+    """Links with spaces, without protocol and in many copies; the verdict is the fixed point's."""
+    pages = [("http://good.net/de/1", '<a href = "//x.io/">'), ("http://good.net/de/1", '<a HREF="https://X.io/a">'), ("http://bad.org/es/1", None), ("http://y.io/", "<a href='http://bad.org/'>"), ("http://x.io/q", ""), ("http://far.io/", "<a href=http://y.io/>")]
+    rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.trust, r.distrust) for r in url_filter.judge_pages(rows).collect()}
+    trust, bad = brute_scores([("good.net", "x.io", 2.0), ("y.io", "bad.org", 1.0), ("far.io", "y.io", 1.0)], {"good.net": (1.0, 0.0), "bad.org": (0.0, 1.0)})
+    for i, (u, _) in enumerate(pages):
+        h = brute_host_path(u)[0]
+        assert abs(got[i][1] - trust.get(h, 0)) < 1e-4 and abs(got[i][2] - bad.get(h, 0)) < 1e-4
+        assert got[i][0] == ("allow" if "good" in u else "block" if bad.get(h, 0) > trust.get(h, 0) else "allow")
+    assert {got[3][0], got[5][0]} == {"block"} and got[4][0] == "allow"
