@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -27,15 +27,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset: on one machine a temporary folder, on a cluster the warehouse."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        found = tempfile.mkdtemp(prefix="spark-") if alone else spark.conf.get("spark.sql.warehouse.dir")
-    return found.rstrip("/")
-
-
 @contextmanager
 def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries that run inside go when each query ends, not when the driver happens to collect garbage."""
