@@ -56,7 +56,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
     ),
     "pix": (
         "documents",
-        "doc_id < 4096",
+        "true",
         {"x": "cast(doc_id % 32 as int)", "y": "cast(floor(doc_id / 32) as int)", "r": "cast(n_chars % 256 as int)", "g": "cast(n_chars * 7 % 256 as int)", "b": "cast(n_chars * 13 % 256 as int)"},
     ),
     "levels": ("lineitem", "true", {"channel": "l_returnflag", "bin": "cast(floor(l_extendedprice / 420) % 256 as int)", "plane": "cast(l_linenumber % 4 as int)", "seq": "l_orderkey * 8 + l_linenumber", "v": "cast(l_quantity as double)"}),
@@ -67,10 +67,6 @@ def views_sql() -> str:
     return "WITH " + ",\n".join(f"{n} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {t} WHERE {w})" for n, (t, w, cols) in VIEWS.items())
 
 
-#: Views whose filter bounds the SQL's neighbourhood self-joins only: Spark reads all their rows.
-SQL_BOUND = {"pix"}
-
-
 class Views:
     """The supplied tables and the catalogue's views over them, as DataFrames read when asked for."""
 
@@ -82,8 +78,7 @@ class Views:
 
     def view(self, name: str) -> DataFrame:
         t, w, cols = VIEWS[name]
-        rows = self.table(t) if name in SQL_BOUND else self.table(t).where(w)
-        return rows.selectExpr(*[f"{e} AS {c}" for c, e in cols.items()])
+        return self.table(t).where(w).selectExpr(*[f"{e} AS {c}" for c, e in cols.items()])
 
     photos = cached_property(lambda self: self.view("photos"))
     edits = cached_property(lambda self: self.view("edits"))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def min_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, label): the smallest node of each component. Each round takes the neighbours' minimum, then the label's label."""
+    """(node, label): the smallest node of each component; an error if they do not settle in ``rounds``. Each round takes the neighbours' minimum, then the label's label."""
     both = _cut(edges.select("node", "other").unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))))
     now = _cut(nodes.select("node", F.col("node").alias("label")))
     for _ in range(rounds):
@@ -26,5 +26,5 @@ def min_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
         jump = _cut(jump)
         now = jump.select("node", "label")
         if not jump.where("old <> label").limit(1).count():
-            break
-    return now
+            return now
+    raise RuntimeError("labels did not settle")

@@ -25,9 +25,9 @@ def _(v):
     return grid(v.photos, v.thumbnails, v.edits, SHOWN).select("id", "project", "display_name", "rating", "flag_state", "color_label", "captured_at", "thumb_path", "edited")
 
 
-@query("grid_ids", "SO3 O3 SRC2", "SELECT id FROM photos WHERE deleted_at IS NULL AND project = 'src3' AND color_label = 2 ORDER BY lower(display_name), id")
+@query("grid_ids", "SO3 O3 SRC2", "SELECT id FROM photos WHERE deleted_at IS NULL AND project = 'src3' AND color_label = 3 ORDER BY lower(display_name), id")
 def _(v):
-    return grid_ids(v.photos, GridFilter(project="src3", color=2), "name", False)
+    return grid_ids(v.photos, GridFilter(project="src3", color=3), "name", False)
 
 
 @query("grid_count", "AG1 O2", "SELECT count(*) AS n FROM photos WHERE deleted_at IS NOT NULL AND rating >= 3")

@@ -77,7 +77,9 @@ def _(v):
     return v.photos.select("id", name.alias("name"))
 
 
-@query("digests", "SF20 SF6", "SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) || ':' || sha256(coalesce(text, '')) || ':' || sha256(coalesce(text, '')) AS fp FROM documents WHERE strlen(coalesce(text, '')) <= 65536")
+@query("digests", "SF20 SF6", """
+, t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, md5(t) AS md5, sha1(t) AS sha1, sha256(t) AS sha256, strlen(t) || ':' || sha256(encode(t)[1:65536]) || ':' || sha256(encode(t)[-65536:]) AS fp FROM t""")
 def _(v):
     t = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return v.table("documents").select("doc_id", F.md5(t).alias("md5"), F.sha1(t).alias("sha1"), F.sha2(t, 256).alias("sha256"), s.fingerprint(F.octet_length(t), t).alias("fp"))

@@ -72,7 +72,8 @@ def _(v):
 
 
 @query("robust_slope", "AG19", """
-, pts AS (SELECT bin::DOUBLE AS x, v * 5 AS y FROM levels WHERE seq % 7 = 0), k AS (SELECT k, count(*) AS inliers FROM pts, range(300) t(k) WHERE abs(y - x * k * 0.01) < 20 GROUP BY k) SELECT k, inliers FROM k ORDER BY inliers DESC, k LIMIT 1""")
+, pts AS (SELECT bin::DOUBLE AS x, v * 5 AS y, count(*) AS n FROM levels GROUP BY ALL),
+k AS (SELECT k, sum(n)::BIGINT AS inliers FROM pts, range(3000) t(k) WHERE abs(y - x * k * 0.001) < 20 GROUP BY k) SELECT k, inliers FROM k ORDER BY inliers DESC, k LIMIT 1""")
 def _(v):
     pts = v.levels.select(F.col("bin").cast("double").alias("x"), (F.col("v") * 5).alias("y"))
     return stats.best_slope(pts, 3000, 0.001, 20.0)
@@ -145,7 +146,10 @@ def _(v):
     return t.where("m between 60 and 200").orderBy("v", "ty", "tx").limit(1).select("tx", "ty", F.round("m", 6).alias("mean"), F.round("v", 6).alias("noise"))
 
 
-@query("threshold_search", "KN7 SF35", ", s AS (SELECT c, sum(1 / (1 + exp(-(bin / 255.0 - c / 100.0) * 10))) AS v FROM levels, range(1, 100) t(c) WHERE seq % 50 = 1 GROUP BY c) SELECT coalesce(min(CASE WHEN v <= (SELECT count(*) FROM levels WHERE seq % 50 = 1) * 0.4 THEN c + 1 END), 101) / 100.0 AS cut FROM s")
+@query("threshold_search", "KN7 SF35", """
+, bins AS (SELECT bin, count(*) AS n FROM levels GROUP BY bin),
+s AS (SELECT c, sum(n / (1 + exp(-(bin / 255.0 - c / 100.0) * 10))) AS v FROM bins, range(1, 100) t(c) GROUP BY c)
+SELECT coalesce(min(CASE WHEN v <= (SELECT count(*) FROM levels) * 0.4 THEN c + 1 END), 101) / 100.0 AS cut FROM s""")
 def _(v):
     rows = v.levels.groupBy("bin").agg(F.count("*").alias("n"))  # 256 rows at most
     steps = v.spark.range(1, 100).select(F.col("id").alias("c"))

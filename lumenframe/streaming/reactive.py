@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+from ..sources.shared import shared_folder
 
 
 def follow(stream: DataFrame, run: Callable[[DataFrame], DataFrame], snapshot: Callable[[], DataFrame], out: str, every: str | None = None):
@@ -32,7 +29,7 @@ def requery(spark: SparkSession, sf_dir: str, table: str, run: Callable[[DataFra
     path = f"{sf_dir}/{table}.parquet"
     held = spark.read.parquet(path)
     stream = spark.readStream.schema(held.schema).parquet(sf_dir if not table else f"{sf_dir}/{table}.parque[t]")
-    out = f"{_folder(spark)}/follow-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
     q = follow(stream, run, lambda: spark.read.parquet(path), out)
     q.awaitTermination()
     versions = spark.read.parquet(out)
