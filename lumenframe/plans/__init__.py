@@ -1,2 +1,2 @@
-from . import catalogue, media, scalars, stats  # noqa: F401
+from . import catalogue, media, more, scalars, stats  # noqa: F401
 from .registry import COVERS, QUERIES, SQL  # noqa: F401

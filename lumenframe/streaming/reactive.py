@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_folder
 
 
-def follow(stream: DataFrame, run: Callable[[DataFrame], DataFrame], snapshot: Callable[[], DataFrame], out: str, every: str | None = None):
+def follow(stream: DataFrame, run: Callable[[Any], DataFrame], snapshot: Callable[[], Any], out: str, every: str | None = None):
     """Start a stream that, at each trigger with changes, runs ``run`` over the whole of ``snapshot()`` and writes the result as version ``batch_id``.
 
     Changes between triggers are conflated into one run; with ``every`` None, what is there is handled and the stream ends.
@@ -26,11 +28,16 @@ def follow(stream: DataFrame, run: Callable[[DataFrame], DataFrame], snapshot: C
 
 def requery(spark: SparkSession, sf_dir: str, table: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The latest version that following ``table`` has produced."""
-    path = f"{sf_dir}/{table}.parquet"
-    held = spark.read.parquet(path)
-    stream = spark.readStream.schema(held.schema).parquet(sf_dir if not table else f"{sf_dir}/{table}.parque[t]")
+    return requery_all(spark, sf_dir, [table], lambda tables: run(tables[table]))
+
+
+def requery_all(spark: SparkSession, sf_dir: str, tables: list[str], run: Callable[[dict[str, DataFrame]], DataFrame]) -> DataFrame:
+    """The latest version that following all the ``tables`` has produced: a change of any of them runs the query once more."""
+    path = lambda t: f"{sf_dir}/{t}.parquet"
+    streams = [spark.readStream.schema(spark.read.parquet(path(t)).schema).parquet(path(t)[:-1] + "[t]").select(F.lit(t).alias("table")) for t in tables]
+    stream = reduce(DataFrame.unionByName, streams)
     out = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
-    q = follow(stream, run, lambda: spark.read.parquet(path), out)
+    q = follow(stream, run, lambda: {t: spark.read.parquet(path(t)) for t in tables}, out)
     q.awaitTermination()
     versions = spark.read.parquet(out)
     latest = versions.agg(F.max("version").alias("version"))
