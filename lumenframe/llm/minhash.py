@@ -262,3 +262,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = _judged(docs).where("not kept").select("doc_id", "t").distinct()
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("t"))
     return rows.join(gone, ["doc_id", "t"], "left_anti").select("row.*")
+
+
+#: The textbook form: all pairs that share a shingle, confirmed by counting.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c) UNION ALL SELECT b, a FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.root) AS component_id, s.doc_id = min(r.root) AS kept FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.s
+"""

@@ -62,4 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_line_dedup, op2_fingerprints, op3_mixing, op4_toxicity, op5_url_filter, op6_media, op7_packing, op8_near_duplicates, op9_substring_dedup, op10_pii)
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op3_mixing": mixing.oracle_sql()}
+SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op3_mixing": mixing.oracle_sql(),
+    "op8_near_duplicates": minhash.ORACLE_SQL,
+    "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+}

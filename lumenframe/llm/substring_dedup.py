@@ -365,3 +365,17 @@ def remove_repeats(docs: DataFrame, bound: int = HOT) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The textbook form: each string of 50 bytes with the first document that it starts in.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, b[i : i + {LENGTH - 1}] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+h AS (SELECT doc_id, i FROM s JOIN f USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM h)),
+x AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH - 1} AS e FROM g GROUP BY doc_id, run),
+k AS (SELECT x.*, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1 AS after FROM x),
+o AS (SELECT doc_id, sum(e - a + 1) AS n, count(*) AS spans, string_agg(hex(b[after : a - 1]), '' ORDER BY a) || hex(any_value(b)[max(e) + 1 :]) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(o.n, 0)::BIGINT AS n_removed, coalesce(o.spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(o.kept), d.b)) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
