@@ -183,7 +183,7 @@ def feature(payload: bytes, media: list[tuple[int, int, str]]) -> str:
 def type_media(rows: DataFrame, content: str, declared: str | None = None) -> DataFrame:
     """``rows`` with ``media_type`` (by the bytes at the start; else the declared one), ``type_corrected`` and ``media``, the carved list.
 
-    Null or empty bytes carry no media. Columns of these names are replaced, others pass through.
+    Null or empty bytes carry no media. Columns of these names are replaced, others pass through, whatever their names.
     """
     rows = rows.drop("media_type", "media", "type_corrected")
 
@@ -193,8 +193,9 @@ def type_media(rows: DataFrame, content: str, declared: str | None = None) -> Da
         return pd.DataFrame({"kind": [next((k for a, n, k in m if a == 0), None) for m in found], "media": [[{"at": a, "length": n, "type": k} for a, n, k in m] for m in found]})
 
     said = F.col(declared) if declared else F.lit(None).cast("string")
-    out = rows.withColumn("_told", told(F.col(content)))
-    return out.withColumn("media_type", F.coalesce("_told.kind", said)).withColumn("type_corrected", F.coalesce(F.col("_told.kind") != said, F.lit(False))).withColumn("media", F.col("_told.media")).drop("_told")
+    out = rows.select(F.struct("*").alias("row"), said.alias("said"), told(F.col(content)).alias("told"))
+    corrected = F.coalesce(F.col("told.kind") != F.col("said"), F.lit(False))
+    return out.select("row.*", F.coalesce("told.kind", "said").alias("media_type"), corrected.alias("type_corrected"), F.col("told.media").alias("media"))
 
 
 def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,5 +214,9 @@ def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: its text stored as sound, found again by its bytes and read back."""
+    """One row per document: its text stored as sound, found again by its bytes and read back.
+
+    A null text counts as empty; very long ones are stored whole; rows that repeat give equal rows; an empty table gives
+    none. Further columns are not read, whatever their names.
+    """
     return docs.select("doc_id", "text").mapInPandas(_stored, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
