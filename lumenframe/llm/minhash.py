@@ -95,7 +95,7 @@ def may_be_near(x: str, y: str) -> Column:
 def _by_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The batches in runs of a few megabytes of text, so that a worker never holds the sets of a whole batch."""
     for batch in batches:
-        for _, some in batch.groupby(batch["text"].str.len().fillna(0).cumsum() // TEXT_AT_ONCE, sort=False):
+        for _, some in batch.groupby(batch["text"].map(lambda t: len(t or "")).cumsum() // TEXT_AT_ONCE, sort=False):
             yield some
 
 
