@@ -116,11 +116,10 @@ def expand_name(template: str, values: dict[str, Column]) -> Column:
 def human_size(bytes_: Column | str) -> Column:
     """Under 1024 plain; else divided by 1024, with one decimal, until the next unit would read 1000 or more."""
     b = _c(bytes_)
-    out, scaled = F.lit(None).cast("string"), b
-    steps = []
-    for unit in "kMGTPE":
+    out, steps = F.lit(None).cast("string"), []
+    for k, unit in enumerate("kMGTPE"):
+        scaled = ((b - b % 1024**k) / 1024**k).cast("bigint") if k else b  # cut towards 0
         steps.append((F.abs(scaled) < 999950, F.concat(F.replace(F.format_string("%.1f", scaled / F.lit(1024.0)), F.lit(",0"), F.lit("")), F.lit(f" {unit}B"))))
-        scaled = F.when(scaled < 0, F.ceil(scaled / 1024)).otherwise(F.floor(scaled / 1024)).cast("bigint")
     for cond, text in reversed(steps):
         out = F.when(cond, text).otherwise(out)
     return F.when(F.abs(b) < 1024, F.concat(b.cast("string"), F.lit(" B"))).otherwise(out)
