@@ -364,3 +364,11 @@ def _(v):
         return c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy("r_name").agg(F.count("*").alias("customers"))
 
     return reactive.requery_all(v.spark, v.dir, ["customer", "nation", "region"], run)
+
+
+@query("string_difference", "ST5")
+def _(v):
+    """What to take from a part's name and from its type so that both read alike."""
+    from ..functions.difference import difference
+
+    return v.table("part").select("p_partkey", "p_name", "p_type", difference("p_name", "p_type").alias("d")).select("p_partkey", "p_name", "p_type", "d.*")
