@@ -181,12 +181,13 @@ def bucket_pairs(met: DataFrame) -> DataFrame:
     return few.unionByName(seated.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))).distinct()
 
 
-def prefix_pairs(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b), distinct: all pairs of different labels that may be near, from rows (node, label, s).
+def prefix_pairs(sets: DataFrame, bits: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b), distinct: all pairs of different labels that may be near, from rows (node, label, s) and the nodes' bit maps.
 
     Sets with n and m shingles, n <= m, are near only if they share 75 (n + m) / 175. If p shingles of one stand before
     the first shared one, n + m is at most 7 (n - p) / 3 for either of them. A node with p before a shingle so reaches
-    sizes up to (4 n - 7 p) / 3 there, and both must reach the other's size. Sizes go in bands, so that few rows meet.
+    sizes up to (4 n - 7 p) / 3 there, and both must reach the other's size. Sizes go in bands, so that few rows meet, and
+    bit maps rule out most pairs where they meet.
     """
     tokens = scratch.cut(sets.mapInPandas(_shingles, "node long, label long, n long, token long"))
     often = scratch.cut(tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).where("often > 1"))
@@ -196,12 +197,13 @@ def prefix_pairs(sets: DataFrame, scratch: Scratch) -> DataFrame:
     ranked = shared.withColumn("p", own + F.row_number().over(rare_first) - 1).where("x <> y and 4 * p <= n")
     base = 100 / THRESHOLD
     band = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double") + 0.5) / math.log(base))
-    rows = scratch.cut(ranked.select("node", "label", "n", "token", F.floor((4 * F.col("n") - 7 * F.col("p")) / 3).alias("reach")))
-    name = lambda side: [F.col(c).alias(c + side) for c in ("node", "label", "n", "reach")]
+    ranked = ranked.select("node", "label", "n", "token", F.floor((4 * F.col("n") - 7 * F.col("p")) / 3).alias("reach"))
+    rows = scratch.cut(ranked.join(bits.select("node", "bits"), "node"))
+    name = lambda side: [*(F.col(c).alias(c + side) for c in ("node", "label", "reach")), *flat(side)]
     small = rows.where("reach >= n").select("token", *name("a"), F.explode(F.sequence(band(F.col("n")), band(F.col("reach")))).alias("band"))
     large = rows.select("token", *name("b"), band(F.col("n")).alias("band"))
-    fits = "labela <> labelb and na <= nb and nb <= reacha and na <= reachb"
-    met = small.join(large, ["token", "band"]).where(fits)
+    fits = F.expr("labela <> labelb and an <= bn and bn <= reacha and an <= reachb")
+    met = small.join(large, ["token", "band"]).where(fits & may_be_near("a", "b"))
     found = scratch.cut(met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct())
     scratch.drop(tokens, often, rows)
     return found
@@ -220,7 +222,7 @@ def near_edges(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFra
     open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     left = scratch.cut(classes.select("node", "low", "s1").join(labelled.join(open_, "key", "left_semi").select("node", "label").distinct(), "node"))
     scratch.drop(sizes, met, labelled)
-    pairs = prefix_pairs(_sets_of(left, docs).select("node", "label", "s"), scratch)
+    pairs = prefix_pairs(_sets_of(left, docs).select("node", "label", "s"), classes, scratch)
     return near.unionByName(_confirmed(pairs, classes, docs, scratch))
 
 

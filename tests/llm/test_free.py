@@ -144,7 +144,8 @@ def test_pairs_by_rare_shingles_are_all_there(spark):
     sets += [np.unique(np.append(s[r.random(len(s)) > 0.1], pool[:1])) for s in sets]
     frame = spark.createDataFrame([(i, i % 140, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, label long, s binary")
     with Scratch(spark) as scratch:
-        got = {(x.a, x.b) for x in minhash.prefix_pairs(frame, scratch).collect()}
+        bits = spark.createDataFrame([(i, minhash.bit_map(s).tolist()) for i, s in enumerate(sets)], "node long, bits array<long>")
+        got = {(x.a, x.b) for x in minhash.prefix_pairs(frame, bits, scratch).collect()}
     share = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if i % 140 != j % 140 and share(sets[i], sets[j]) >= 0.75}
     assert want <= got and len(want) > 50
