@@ -18,6 +18,8 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 DAMPING, DISTRUST_WEIGHT = 0.85, 1.0
 #: Scores, which sum to 1 each, move until they change by no more than this in one round; written down after so many rounds.
 TOLERANCE, CUT_EVERY, MOST_ROUNDS = 1e-5, 6, 300
+#: Edges that one task takes in a round.
+MOVES_A_TASK = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,11 +69,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     back = edges.join(edges.groupBy("dst").agg(F.sum("weight").alias("all")), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("all")).alias("w"))
     moves = scratch.cut(forward.select("src", "dst", F.col("w").alias("f"), F.lit(0.0).alias("r")).unionByName(back.select("src", "dst", F.lit(0.0).alias("f"), F.col("w").alias("r"))).groupBy("src", "dst").agg(F.sum("f").alias("f"), F.sum("r").alias("r")))
     start = scratch.cut(seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust")))
-    now = start
+    now, tasks = start, moves.count() // MOVES_A_TASK + 1  # so that few hosts do not travel in many small files
 
     def moved(state: DataFrame) -> DataFrame:
         out = moves.join(state, moves["src"] == state["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("f") * damping).alias("trust"), (F.col("distrust") * F.col("r") * damping).alias("distrust"))
-        return out.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        return out.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).coalesce(tasks)
 
     # From the start, scores only rise, and what a round adds is what their sums gain.
     sums = lambda df: df.agg(F.sum(F.col("trust") + F.col("distrust"))).first()[0] or 0.0
