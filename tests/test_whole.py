@@ -68,35 +68,6 @@ def test_all_points_are_swept(spark, sf_dir):
     assert spark_rows(plans.QUERIES["robust_slope"](spark, sf_dir)) == sql_rows(con, whole)[1]
 
 
-def test_line_in_thousands_of_contexts(spark):
-    """Its gram is split: no part gets many entries of one gram, and the rows are those of brute force."""
-    import random
-
-    import numpy as np
-    import pandas as pd
-
-    from lumenframe.llm import substring_dedup as sd
-    from tests.llm.test_free import brute_removed
-
-    rng = random.Random(5)
-    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
-    shared = [noise(49), noise(40), noise(62)]
-    texts = [noise(rng.randint(0, 60)) + shared[i % 3] + (rng.choice("XYZ") if i % 5 else "") + noise(rng.randint(0, 60)) for i in range(4000)]
-    texts[7] = texts[3000] = None
-    ids = [16 * i for i in range(4000)]
-    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-    rows = docs.withColumn("bucket", F.floor(F.col("doc_id") / sd.BUCKET))
-    hot = sd.hot_grams(rows, 256)
-    assert len(hot)
-    sent = [np.frombuffer(r.entries, sd.ENTRIES)["a"] for r in rows.groupBy("bucket").applyInPandas(sd._send(8, hot), "part int, bucket long, first long, entries binary").collect()]
-    assert pd.Series(np.concatenate(sent)).value_counts().max() < 512
-    got = {}
-    for r in sd.remove_repeats(docs, bound=256).collect():
-        got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()))
-    want = brute_removed(ids, texts)
-    assert sum(w[0][1] for w in want.values()) > 0 and got == {i: sorted(v) for i, v in want.items()}
-
-
 def test_tables_beyond_the_bound(spark):
     n = lookup.SMALL_ROWS + 5
     rules = spark.range(n).select(F.col("id").alias("pos"), F.format_string("<%06d>", "id").alias("needle"), (F.col("id") * 2).alias("out"))
