@@ -62,7 +62,7 @@ def new_rows(incoming: DataFrame, held: DataFrame, key: list[str]) -> DataFrame:
 
 
 def insert_or_fail(incoming: DataFrame, held: DataFrame, key: list[str]) -> DataFrame:
-    """``held`` and ``incoming``; a row whose key exists, or occurs twice, fails the insert."""
+    """``held`` and ``incoming``; a row whose key exists, or occurs twice, fails the insert. The check runs two jobs when called."""
     if incoming.join(held.select(*key), key, "left_semi").limit(1).count() or incoming.groupBy(*key).count().where("count > 1").limit(1).count():
         raise ValueError(f"rows with the same {', '.join(key)} exist")
     return held.unionByName(incoming)

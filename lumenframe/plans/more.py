@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions import scalar as s
-from ..operators import blend, raster
+from ..operators import blend, features, raster
 from ..operators.grid import SORTS, GridFilter, order
 from ..operators.transforms import chain, registry
 from ..sources import files
@@ -372,3 +372,27 @@ def _(v):
     from ..functions.difference import difference
 
     return v.table("part").select("p_partkey", "p_name", "p_type", difference("p_name", "p_type").alias("d")).select("p_partkey", "p_name", "p_type", "d.*")
+
+
+def _features_sql() -> str:
+    p = lambda c, x: f"max(CASE WHEN channel = '{c}' AND k = floor({x} / 100 * (n - 1)) THEN v END)"
+    ranks = [f"{p('luma', x)} AS luma_{features._p(x)}" for x in features.PERCENTILES] + [f"{p(c, 99.5)} AS {c}_p99_5" for c in "rgb"]
+    shares = [f"avg(({c} >= 254)::INTEGER) AS {c}_clip, avg({c} / 255) AS {c}_mean" for c in "rgb"]
+    shares += [f"avg((l > {x})::INTEGER) AS above_{int(x * 10)}" for x in features.ABOVE] + [f"avg((l < {x})::INTEGER) AS below_{int(x * 10)}" for x in features.BELOW]
+    shares += [f"avg((floor(l * 31.99) = {i})::INTEGER) AS bucket_{i}" for i in range(features.BUCKETS)]
+    shares += ["avg(l) AS l", "avg((r >= 254 OR g >= 254 OR b >= 254)::INTEGER) AS any_share"]
+    made = {
+        "r_minus_g": "r_mean - (g_mean + 1e-6)", "b_minus_g": "b_mean - (g_mean + 1e-6)", "r_by_g": "r_mean / (g_mean + 1e-6)", "b_by_g": "b_mean / (g_mean + 1e-6)", "span": "luma_p99_5 - luma_p0_5",
+        "middle": "luma_p75 - luma_p25", "log_mean": "ln(l + 1e-4)", "skew": "l - luma_p50", "any_clip": "CASE WHEN any_share > 0.005 THEN 1 ELSE 0 END", "ev": "0.5",
+    }
+    return f"""
+, px AS (SELECT r, g, b, round((0.299 * r + 0.587 * g + 0.114 * b) / 255, 9)::DOUBLE AS l FROM pix),
+v AS (SELECT 'luma' AS channel, l AS v FROM px UNION ALL SELECT 'r', r / 255 FROM px UNION ALL SELECT 'g', g / 255 FROM px UNION ALL SELECT 'b', b / 255 FROM px),
+k AS (SELECT channel, v, row_number() OVER (PARTITION BY channel ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY channel) AS n FROM v),
+a AS (SELECT {', '.join(ranks)} FROM k), s AS (SELECT {', '.join(shares)} FROM px)
+SELECT {', '.join(f"round(({made.get(n, n)})::DOUBLE, 6) AS {n}" for n in features.names())} FROM a, s"""
+
+
+@query("picture_features", "KN1", _features_sql())
+def _(v):
+    return features.picture_features(v.pix, 0.5)
