@@ -1,14 +1,17 @@
 """Word shingles of whole texts as 64-bit hashes, computed with numpy over the bytes of a batch.
 
 A word's hash is a polynomial in an odd base modulo 2^64, taken from prefix sums, so all words of a batch cost one pass;
-it is then scrambled. Five scrambled words with five odd factors make a shingle.
+it is then scrambled. Long words, which could be built to collide there, are hashed one by one. Five scrambled words with five odd factors make a shingle.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 WORDS = 5
+LONG_WORD = 256
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 FACTORS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=U)
@@ -48,7 +51,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(buf))
     sums = np.zeros(len(buf) + 1, dtype=U)
     np.cumsum((LOWER[buf].astype(U) + U(1)) * up, out=sums[1:])
-    return scramble((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U)), np.searchsorted(ends_of_text, starts, side="right")
+    out = scramble((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        word = LOWER[buf[starts[k] : ends[k]]].tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out, np.searchsorted(ends_of_text, starts, side="right")
 
 
 def shingle_sets(texts: list[str | None], chunk: int = 1 << 19) -> list[np.ndarray]:

@@ -16,6 +16,7 @@ from lumenframe.llm import media, minhash, packing, substring_dedup, toxicity, u
 from lumenframe.llm.common import Scratch
 from lumenframe.llm.components import components
 from lumenframe.llm.queries import tokenizer_paths
+from lumenframe.llm.shingles import shingle_sets
 from lumenframe.llm.suffix_array import common_prefixes, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, keys string, rank int"
@@ -98,6 +99,14 @@ def test_near_duplicates_on_documents(spark, sf_dir):
     assert got == brute_components([r.doc_id for r in rows], [r.text for r in rows])
 
 
+def test_long_words_built_to_collide():
+    """Thue-Morse words have equal polynomial hashes modulo 2^64, whatever the base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 12))
+    a, b = shingle_sets([f"{w} one two three four" for w in (word, word.translate(str.maketrans("ab", "ba")))])
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+    assert (shingle_sets([word.upper()])[0] == shingle_sets([word])[0]).all()
+
+
 def test_signature_of_small_sets():
     s = minhash.signature(np.array([7], dtype=np.uint64))
     assert (s == 7).all()
