@@ -5,14 +5,13 @@ Each stage reads what the one before it wrote. The first three filter; mixing re
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import line_dedup, minhash, mixing, packing, toxicity
-from lumenframe.llm.common import shared_folder, table
+from lumenframe.llm.common import Scratch, table
 from lumenframe.llm.queries import tokenizer_paths
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -75,12 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written as Parquet in the shared folder and read again.
+
+    A stage's table goes when the next one is written; the last stage has written its own pieces down when it returns.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+    with Scratch(spark) as scratch:
+        for k, (_, stage) in enumerate(STAGES):
+            before, docs = docs, stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = scratch.cut(docs)
+                if k:
+                    scratch.drop(before)
     return docs
