@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, media, minhash, mixing, packing, pii, substring_dedup, toxicity, url_filter
+from . import conversations, filter_audit, fingerprints, line_dedup, media, minhash, mixing, packing, passages, pii, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -57,9 +57,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_fingerprints, op3_mixing, op4_toxicity, op5_url_filter, op6_media, op7_packing, op8_near_duplicates, op9_substring_dedup, op10_pii)
+    for f in (
+        op1_line_dedup, op2_fingerprints, op3_mixing, op4_toxicity, op5_url_filter, op6_media, op7_packing, op8_near_duplicates, op9_substring_dedup, op10_pii,
+        op11_filter_audit, op12_conversations, op13_passages,
+    )
 }
 
 SQL: dict[str, str] = {
@@ -67,4 +82,7 @@ SQL: dict[str, str] = {
     "op3_mixing": mixing.oracle_sql(),
     "op8_near_duplicates": minhash.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_conversations": conversations.ORACLE_SQL,
+    "op13_passages": passages.ORACLE_SQL,
 }
