@@ -1,17 +1,51 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables that are needed only for a while."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset: on one machine a temporary folder, on a cluster the warehouse."""
+    """The folder in spark.checkpoint.dir. Where that is unset: on one machine a temporary folder, on a cluster the warehouse, which must not be local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        found = tempfile.mkdtemp(prefix="spark-") if alone else spark.conf.get("spark.sql.warehouse.dir")
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            return tempfile.mkdtemp(prefix="spark-")
+        found = spark.conf.get("spark.sql.warehouse.dir")
+        if re.match(r"(file:|/)", found):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/")
+
+
+class Workspace:
+    """A folder in the shared one that goes, with all in it, when the block ends; what is to outlive it is ``kept``."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.top, self.count = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", 0
+
+    def path(self) -> str:
+        self.count += 1
+        return f"{self.top}/{self.count}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = self.path()
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """The rows as a checkpoint, whose files Spark deletes when nothing refers to them (where it is told to clean checkpoints)."""
+        sc = self.spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(shared_folder(self.spark))
+        return df.checkpoint()
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
