@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import bound, cut, text_or_empty
 
-#: Default of the parameter ``min_near_chars``: shorter lines are only compared for equality, as one edit in them is a large
-#: change ("Page 1" and "Page 2").
+#: The edit bound is relative to the length: one edit in so many characters, and one at most. Default of the parameter
+#: ``min_near_chars``; shorter lines have no edit to spare ("Page 1" and "Page 2").
 MIN_NEAR_CHARS = 16
 BLOCK = 48
 STEP = 1.25
+#: The lines that occur most often, so many at most and each more often than so, are dealt out over so many keys in the last
+#: join. No other line can have more than 1 in COMMON of all lines.
+COMMON, OFTEN, SALTS = 1000, 1000, 64
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -110,13 +113,19 @@ def line_classes(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataF
     here = F.struct("doc_id", "dkey", "line_no")
     long = real.where(F.col("n") >= min_near_chars)
     uniq = long.groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
-    firsts = real.groupBy("h1", "h2").agg(F.min(here).alias("first"))
-    links = near_links(uniq, firsts)
+    firsts = real.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n_lines"))
+    links = near_links(uniq, firsts.drop("n_lines"))
     classes = firsts.join(links, ["h1", "h2"], "left")
     best = F.least("first", F.coalesce("near", "first"))
     classes = classes.select("h1", "h2", best.alias("keeper"))
+    often = firsts.where(F.col("n_lines") > OFTEN).orderBy(F.desc("n_lines"), "h1", "h2").limit(COMMON).select("h1", "h2", F.lit(True).alias("often"))
+    often = F.broadcast(often)  # COMMON rows at most
+    salted = lambda k: F.when(F.col("often"), F.xxhash64("h2", k)).otherwise(F.col("h2"))
+    every = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    classes = classes.join(often, ["h1", "h2"], "left").withColumn("salt", F.explode(every)).select("h1", salted(F.col("salt")).alias("h2"), "keeper")
     blank = F.col("n") == 0
-    spread = lines.drop("norm").withColumn("h1", F.when(blank, F.xxhash64("dkey", "line_no")).otherwise(F.col("h1")))  # blank lines meet nothing
+    spread = lines.drop("norm").join(often, ["h1", "h2"], "left").withColumn("h2", salted(F.pmod(F.xxhash64("dkey", "line_no"), F.lit(SALTS)).cast("int"))).drop("often")
+    spread = spread.withColumn("h1", F.when(blank, F.xxhash64("dkey", "line_no")).otherwise(F.col("h1")))  # blank lines meet nothing
     out = spread.join(classes, ["h1", "h2"], "left")
     keeper = F.when(blank, here).otherwise(F.col("keeper"))
     return out.select("doc_id", "dkey", "line_no", F.col("n").cast("bigint").alias("n_chars"), keeper["doc_id"].alias("keeper_doc_id"), keeper["line_no"].alias("keeper_line_no"), keeper.eqNullSafe(here).alias("kept"))
