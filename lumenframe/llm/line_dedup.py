@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound, cut, text_or_empty
+from .common import Scratch, bound, cut, text_or_empty
 
 #: The edit bound is relative to the length: one edit in so many characters, and one at most. Default of the parameter
 #: ``min_near_chars``; shorter lines have no edit to spare ("Page 1" and "Page 2").
@@ -70,10 +70,7 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def near_links(uniq: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h1, h2, near): of each line with others within one edit, the earliest occurrence of any of those.
-
-    ``uniq`` is read twice with the same columns, so its shuffle, the only one that moves all text, is made once.
-    """
+    """(h1, h2, near): of each line with others within one edit, the earliest occurrence of any of those. ``uniq`` is not read after this call."""
     cand = _shared(_first_keys(uniq))
     mids = uniq.join(cand, ["h1", "h2"]).select("h1", "h2", "key", F.substring("norm", F.col("i") * F.col("w") + 1, F.char_length("norm") - 2 * F.col("w")).alias("mid"))
     m = F.char_length("mid")
@@ -111,10 +108,12 @@ def line_classes(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataF
     lines = _lines(docs)
     real = lines.where("n > 0")
     here = F.struct("doc_id", "dkey", "line_no")
-    long = real.where(F.col("n") >= min_near_chars)
-    uniq = long.groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
-    firsts = real.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n_lines"))
-    links = near_links(uniq, firsts.drop("n_lines"))
+    text = F.when(F.col("n") >= min_near_chars, F.col("norm"))
+    distinct = real.groupBy("h1", "h2").agg(F.first(text).alias("norm"), F.min(here).alias("first"), F.count("*").alias("n_lines"))
+    with Scratch(docs.sparkSession) as scratch:  # the one table with the text of lines, each once
+        distinct = scratch.cut(distinct)
+        firsts = cut(distinct.drop("norm"))
+        links = near_links(distinct.where("norm is not null").select("h1", "h2", "norm"), firsts.drop("n_lines"))
     classes = firsts.join(links, ["h1", "h2"], "left")
     best = F.least("first", F.coalesce("near", "first"))
     classes = classes.select("h1", "h2", best.alias("keeper"))
