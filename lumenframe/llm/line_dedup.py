@@ -69,15 +69,15 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(several, "key", "left_semi")
 
 
-def near_links(uniq: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h1, h2, near): of each line with others within one edit, the earliest occurrence of any of those. ``uniq`` is not read after this call."""
+def near_links(uniq: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h1, h2, near): of each line with others within one edit, the earliest occurrence of any of those."""
     cand = _shared(_first_keys(uniq))
     mids = uniq.join(cand, ["h1", "h2"]).select("h1", "h2", "key", F.substring("norm", F.col("i") * F.col("w") + 1, F.char_length("norm") - 2 * F.col("w")).alias("mid"))
     m = F.char_length("mid")
     parts = lambda n: (_block(n), F.greatest(F.floor(n / _block(n)), F.lit(1)).cast("int"))
     (w, k), (v, l) = parts(m), parts(m + 1)
     blocks = F.when((w == v) & (k == l), _gapped(F.col("mid"), m, w, k, F.col("key"))).otherwise(F.concat(_gapped(F.col("mid"), m, w, k, F.col("key")), _gapped(F.col("mid"), m, v, l, F.col("key"))))
-    blocks = cut(_shared(mids.select("h1", "h2", F.explode(blocks).alias("b")).select("h1", "h2", "b.*")))
+    blocks = scratch.cut(_shared(mids.select("h1", "h2", F.explode(blocks).alias("b")).select("h1", "h2", "b.*")))
     b, n = F.col("mid"), F.char_length("mid")
     gone = lambda i: F.xxhash64(F.col("key"), F.concat(F.left(b, i - 1), F.substring(b, i + 1, n)))
     deletions = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array(F.struct(F.xxhash64(gone(i), i).alias("v"), F.lit(1).alias("d")), F.struct(F.xxhash64(gone(i), F.lit(0)).alias("v"), F.lit(2).alias("d"))))))
@@ -110,24 +110,23 @@ def line_classes(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataF
     here = F.struct("doc_id", "dkey", "line_no")
     text = F.when(F.col("n") >= min_near_chars, F.col("norm"))
     distinct = real.groupBy("h1", "h2").agg(F.first(text).alias("norm"), F.min(here).alias("first"), F.count("*").alias("n_lines"))
-    with Scratch(docs.sparkSession) as scratch:  # the one table with the text of lines, each once
-        distinct = scratch.cut(distinct)
-        firsts = cut(distinct.drop("norm"))
-        links = near_links(distinct.where("norm is not null").select("h1", "h2", "norm"), firsts.drop("n_lines"))
-    classes = firsts.join(links, ["h1", "h2"], "left")
-    best = F.least("first", F.coalesce("near", "first"))
-    classes = classes.select("h1", "h2", best.alias("keeper"))
-    often = firsts.where(F.col("n_lines") > OFTEN).orderBy(F.desc("n_lines"), "h1", "h2").limit(COMMON).select("h1", "h2", F.lit(True).alias("often"))
-    often = F.broadcast(often)  # COMMON rows at most
-    salted = lambda k: F.when(F.col("often"), F.xxhash64("h2", k)).otherwise(F.col("h2"))
-    every = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    classes = classes.join(often, ["h1", "h2"], "left").withColumn("salt", F.explode(every)).select("h1", salted(F.col("salt")).alias("h2"), "keeper")
     blank = F.col("n") == 0
-    spread = lines.drop("norm").join(often, ["h1", "h2"], "left").withColumn("h2", salted(F.pmod(F.xxhash64("dkey", "line_no"), F.lit(SALTS)).cast("int"))).drop("often")
-    spread = spread.withColumn("h1", F.when(blank, F.xxhash64("dkey", "line_no")).otherwise(F.col("h1")))  # blank lines meet nothing
-    out = spread.join(classes, ["h1", "h2"], "left")
-    keeper = F.when(blank, here).otherwise(F.col("keeper"))
-    return out.select("doc_id", "dkey", "line_no", F.col("n").cast("bigint").alias("n_chars"), keeper["doc_id"].alias("keeper_doc_id"), keeper["line_no"].alias("keeper_line_no"), keeper.eqNullSafe(here).alias("kept"))
+    salted = lambda k: F.when(F.col("often"), F.xxhash64("h2", k)).otherwise(F.col("h2"))
+    with Scratch(docs.sparkSession) as scratch:
+        distinct = scratch.cut(distinct)  # the one table with the text of lines, each once
+        firsts = distinct.select("h1", "h2", "first")
+        links = near_links(distinct.where("norm is not null").select("h1", "h2", "norm"), firsts, scratch)
+        best = F.least("first", F.coalesce("near", "first"))
+        classes = firsts.join(links, ["h1", "h2"], "left").select("h1", "h2", best.alias("keeper"))
+        often = distinct.where(F.col("n_lines") > OFTEN).orderBy(F.desc("n_lines"), "h1", "h2").limit(COMMON).select("h1", "h2", F.lit(True).alias("often"))
+        often = F.broadcast(often)  # COMMON rows at most
+        every = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        classes = classes.join(often, ["h1", "h2"], "left").withColumn("salt", F.explode(every)).select("h1", salted(F.col("salt")).alias("h2"), "keeper")
+        spread = lines.drop("norm").join(often, ["h1", "h2"], "left").withColumn("h2", salted(F.pmod(F.xxhash64("dkey", "line_no"), F.lit(SALTS)).cast("int"))).drop("often")
+        spread = spread.withColumn("h1", F.when(blank, F.xxhash64("dkey", "line_no")).otherwise(F.col("h1")))  # blank lines meet nothing
+        out = spread.join(classes, ["h1", "h2"], "left")
+        keeper = F.when(blank, here).otherwise(F.col("keeper"))
+        return cut(out.select("doc_id", "dkey", "line_no", F.col("n").cast("bigint").alias("n_chars"), keeper["doc_id"].alias("keeper_doc_id"), keeper["line_no"].alias("keeper_line_no"), keeper.eqNullSafe(here).alias("kept")))
 
 
 def dedup_lines(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
