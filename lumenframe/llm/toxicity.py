@@ -195,7 +195,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted toxic; the others pass unchanged, repeated ones too, with all their columns."""
+    """``docs`` without the documents predicted toxic; the others pass unchanged, repeated ones too, with all their columns.
+
+    A null or empty text is scored by the bias alone, very long ones whole; an empty table stays empty; without labels of
+    both classes lexicons decide.
+    """
     weights, bias = train(docs, labels)
 
     @F.pandas_udf("double")
