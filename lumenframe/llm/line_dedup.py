@@ -64,9 +64,10 @@ def _first_keys(uniq: DataFrame) -> DataFrame:
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """The rows whose key occurs with two different lines at least; a hot key is counted before it is shuffled."""
-    several = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    return keys.join(several, "key", "left_semi")
+    """The rows whose key occurs with two different lines at least; lines come once each, so a common one adds one row."""
+    same = Window.partitionBy("key")
+    met = keys.withColumn("lo", F.min("h1").over(same)).withColumn("hi", F.max("h1").over(same))
+    return met.where("lo <> hi").drop("lo", "hi")
 
 
 def near_links(uniq: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
