@@ -57,7 +57,9 @@ def host_edges(own: DataFrame, counted: DataFrame) -> DataFrame:
     parent = F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1)
     kin = hosts.select("host", parent.alias("parent")).where("parent <> ''")
     # A deep subdomain reaches its registered domain step by step: each step is an edge of its own.
-    chain = F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("host", r"\.")) - 2, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(F.split("host", r"\."), i, 1000), ".").alias("a"), F.array_join(F.slice(F.split("host", r"\."), i + 1, 1000), ".").alias("b")))
+    parts = F.split("host", r"\.")
+    from_ = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    chain = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))), lambda i: F.struct(from_(i).alias("a"), from_(i + 1).alias("b")))
     steps = kin.select(F.explode(chain).alias("e")).select("e.*").distinct()
     both = steps.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(steps.select("b", "a")).withColumn("weight", F.lit(1.0))
     return counted.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
