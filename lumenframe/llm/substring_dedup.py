@@ -40,7 +40,7 @@ POSITION = (1 << 28) - 1
 SEGMENT = 1 << 22  # longer texts are worked on in segments of so many bytes
 PART = 4 << 20  # bytes of text whose anchors meet in one part, about
 HOT, SAMPLE = 1 << 15, 16  # entries from which a gram is split; one group of so many is counted
-FEW, OFTEN = 200_000, 4096  # so many repeated strings are broadcast; else those in more entries than OFTEN
+FEW = 200_000  # so many repeated strings, of three numbers each, are broadcast
 
 ENTRIES = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<u2"), ("l", "<u2"), ("r", "<u2")])
 REPLIES = np.dtype([("entry", "<u4"), ("flag", "u1")])
@@ -291,12 +291,9 @@ def _split(asked: DataFrame, scratch: Scratch) -> DataFrame:
     listed = asked.where("part = -1").select("bucket", F.arrays_zip("entry", "k", "gram", "string", "doc").alias("x"))
     strings = listed.select("bucket", F.inline("x"))
     of = ["gram", "string"]
-    least = scratch.cut(strings.groupBy(*of).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most").drop("most"))
-    if least.count() <= FEW:
-        met = strings.join(F.broadcast(least), of)
-    else:  # a string in many entries is not dealt out by its hash
-        often, rest = least.where(F.col("n") > OFTEN), least.where(F.col("n") <= OFTEN)
-        met = strings.join(F.broadcast(often), of).unionByName(strings.join(rest, of))
+    least = scratch.cut(strings.groupBy(*of).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
+    # Both sides are tables of their own, so that Spark can split the rows of a string in many entries.
+    met = strings.join(F.broadcast(least) if least.count() <= FEW else least, of)
     masks = met.where("doc > least").groupBy("bucket", "entry").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     return masks.groupBy("bucket").applyInPandas(_masks, "bucket long, kind int, data binary")
 

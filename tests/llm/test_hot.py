@@ -7,8 +7,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lumenframe.llm import line_dedup
 from lumenframe.llm import substring_dedup as sd
 from tests.llm.test_free import brute_removed
+from tests.llm.test_native import brute_lines
 
 
 def test_line_in_thousands_of_contexts(spark):
@@ -30,3 +32,18 @@ def test_line_in_thousands_of_contexts(spark):
         got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()))
     want = brute_removed(ids, texts)
     assert sum(w[0][1] for w in want.values()) > 0 and got == {i: sorted(v) for i, v in want.items()}
+
+
+def test_most_common_lines_are_dealt_out(spark, monkeypatch):
+    """Lines of every document go by several keys, with the decisions of brute force."""
+    monkeypatch.setattr(line_dedup, "OFTEN", 20)
+    monkeypatch.setattr(line_dedup, "COMMON", 2)
+    rng = random.Random(6)
+    every, many = "All rights are reserved by the authors of this", "This is a line that many documents carry along"
+    texts = []
+    for i in range(150):
+        lines = [every if i % 7 else every[:-1] + "x", f"own line number {rng.randrange(10**9)} of its kind", "ok", ""] + [many] * (i % 3 == 0)
+        rng.shuffle(lines)
+        texts.append("\n".join(lines))
+    got = {(r.doc_id, r.line_no, r.keeper_doc_id, r.keeper_line_no, r.kept) for r in line_dedup.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute_lines(texts)
