@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -280,3 +282,67 @@ def percent_size(length: Column, percent: int) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+#: Picture styles of maker note codes, and the styles whose bias counts half.
+STYLE_CODES = {129: "STANDARD", 130: "PORTRAIT", 131: "LANDSCAPE", 132: "NEUTRAL", 133: "FAITHFUL", 134: "MONOCHROME", 33: "USER_DEF", 0: "AUTO"}
+MILD_STYLES = ["NEUTRAL", "FAITHFUL"]
+
+
+def picture_style(make: Column, code: Column) -> Column:
+    """The style of a Canon body's code, AUTO for an unknown one; STANDARD for other makes or without a code."""
+    named = F.lit("AUTO")
+    for value, name in STYLE_CODES.items():
+        named = F.when(code == value, name).otherwise(named)
+    return F.when(F.lower(make).contains("canon") & code.isNotNull(), named).otherwise("STANDARD")
+
+
+def style_scale(style: Column) -> Column:
+    return F.when(style.isin(MILD_STYLES), 0.5).otherwise(1.0)
+
+
+def aspect_size(width: Column, height: Column, ratio: Column, fit: Column) -> Column:
+    """struct(width, height) of the given ratio: inside the picture, or with ``fit`` around it; one of the sides stays."""
+    own = width.cast("double") / height
+    keeps_height = F.when(fit, ratio > own).otherwise(ratio < own)
+    size = lambda w, h: F.struct(half_up(w).cast("int").alias("width"), half_up(h).cast("int").alias("height"))
+    return F.when(keeps_height, size(height * ratio, height.cast("double"))).otherwise(size(width.cast("double"), width / ratio))
+
+
+def has_extension(uri: Column, extension: Column) -> Column:
+    """Whether ``uri`` ends with the extension; with none, or ``*``, all do."""
+    return extension.isNull() | (extension == "*") | uri.endswith(extension)
+
+
+def matches_either(words: str, *texts: Column) -> Column:
+    """Whether one of the texts contains ``words``, in any case; without words, all do."""
+    hit = F.lit(not words)
+    for t in texts:
+        hit = hit | F.lower(t).contains(words.lower())
+    return hit
+
+
+def replace_at(items: Column, index: Column, change: Callable[[Column], Column]) -> Column:
+    """``items`` with ``change`` applied to the one at ``index``, from 0."""
+    return F.transform(items, lambda x, i: F.when(i == index, change(x)).otherwise(x))
+
+
+def toggle_kind(items: Column, item: Column, kind: str) -> Column:
+    """Without those of the item's ``kind`` (a field), or, if there are none, with the item at the end."""
+    same = lambda x: x[kind] == item[kind]
+    return F.when(F.exists(items, same), F.filter(items, lambda x: ~same(x))).otherwise(F.concat(items, F.array(item)))
+
+
+#: The known keys of develop settings and the unit that their numbers are counted in.
+SETTING_UNITS = {"Exposure2012": 5.0, "Contrast2012": 100.0, "Highlights2012": 100.0, "Shadows2012": 100.0, "Whites2012": 100.0, "Blacks2012": 100.0}
+HSL_KINDS = ["HueAdjustment", "SaturationAdjustment", "LuminanceAdjustment"]
+
+
+def develop_settings(text: Column | str) -> Column:
+    """Map of settings in ``name="number"`` attributes, prefixes of the names stripped, in units of 1; unknown names and other values are left out, the last of a name wins."""
+    pairs = F.regexp_extract_all(_c(text), F.lit(r'[\w:.]+\s*=\s*"[^"]*"'), F.lit(0))
+    unit = lambda k: F.coalesce(*[F.when(k == name, u) for name, u in SETTING_UNITS.items()], F.when(k.rlike(f"^({'|'.join(HSL_KINDS)})."), 100.0))
+    read = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r'([\w.]+)\s*=', 1).alias("k"), F.regexp_extract(p, r'"\s*([-+]?[0-9]*\.?[0-9]+)', 1).try_cast("double").alias("v")))
+    known = F.filter(F.transform(read, lambda x: F.struct(x["k"].alias("k"), (x["v"] / unit(x["k"])).alias("v"))), lambda x: x["v"].isNotNull())
+    last = F.filter(known, lambda x, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(last)

@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import checkpointed
+
 NEVER = -(1 << 62)  # an entry that no age keeps
 
 
@@ -72,16 +73,16 @@ def _summary(age: int) -> Callable:
     """Of each range: its first key with the ends of its chains, its last key and, unless that is the first, its last fetch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = until = end = None
+        first = last = until = end = range_ = None
         created = NEVER  # not used where the last key is the first
-        for key, at, _ in _runs(batches):
+        for key, at, rows in _runs(batches):
             if first is None:
-                first, (until, end) = key, ends(at, age)
+                first, range_, (until, end) = key, rows.column("_range")[0].as_py(), ends(at, age)
             else:
                 created = int(at[_chain(at, NEVER, age)][-1])
             last = key
         if first is not None:
-            row = [[TaskContext.get().partitionId()], [first], [last], [until.tolist()], [end.tolist()], [created]]
+            row = [[range_], [first], [last], [until.tolist()], [end.tolist()], [created]]
             types = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
             yield pa.record_batch([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["range", "first", "last", "until", "end", "created"])
 
@@ -126,11 +127,11 @@ def cached_calls(calls: DataFrame, keys: list[str], at: str, age: int, tie: str)
     """
     n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = calls.where(F.col(at).isNotNull()).select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key"), F.col(at).cast("long").alias("_at"), *calls.columns)
-    ranges = named.repartitionByRange(n, "_key", "_at", tie).sortWithinPartitions("_key", "_at", tie)
+    ranges = named.repartitionByRange(n, "_key", "_at", tie).sortWithinPartitions("_key", "_at", tie).withColumn("_range", F.spark_partition_id())
+    ranges = checkpointed(ranges)  # Spark samples for the bounds of ranges, so a second evaluation may have others
     # A table of a row for each range, in one task.
-    summary = ranges.select("_key", "_at").mapInArrow(_summary(age), SUMMARY)
+    summary = ranges.select("_key", "_at", "_range").mapInArrow(_summary(age), SUMMARY)
     begin = summary.groupBy().applyInPandas(_begin(age), "_range int, _created long")
-    entered = ranges.withColumn("_range", F.spark_partition_id()).join(F.broadcast(begin), "_range", "left").drop("_range")
-    entered = entered.select("_key", "_at", *calls.columns, "_created")
+    entered = ranges.join(F.broadcast(begin), "_range", "left").select("_key", "_at", *calls.columns, "_created")
     schema = T.StructType([*calls.schema.fields, T.StructField("hit", T.BooleanType()), T.StructField("created_at", T.LongType())])
     return entered.mapInArrow(_marked(age), schema)

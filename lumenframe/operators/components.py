@@ -5,25 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+from ..sources.shared import checkpointed
 
 
 def min_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """(node, label): the smallest node of each component; an error if they do not settle in ``rounds``. Each round takes the neighbours' minimum, then the label's label."""
-    both = _cut(edges.select("node", "other").unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))))
-    now = _cut(nodes.select("node", F.col("node").alias("label")))
+    both = checkpointed(edges.select("node", "other").unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))))
+    now = checkpointed(nodes.select("node", F.col("node").alias("label")))
     for _ in range(rounds):
         near = both.join(now.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         spread = now.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         jump = spread.join(now.select(F.col("node").alias("new"), F.col("label").alias("jump")), "new").select("node", F.col("label").alias("old"), F.least("new", "jump").alias("label"))
-        jump = _cut(jump)
+        jump = checkpointed(jump)
         now = jump.select("node", "label")
         if not jump.where("old <> label").limit(1).count():
             return now

@@ -37,7 +37,7 @@ def _spectra(size: int, keep: int, quality: float) -> Callable:
         y, x = np.nonzero(full)
         c = cosines(size, keep)
         d = np.einsum("ui,bij,vj->buv", c, view(grey, (size, size))[y, x], c) / quality
-        made = np.clip(np.rint(np.round(d, 6)), 0, 255).astype(np.uint8).reshape(len(y), -1)
+        made = np.clip(np.rint(np.round(d, 6)), 0, 255).astype(np.uint8).reshape(len(y), keep * keep)
         return pd.DataFrame({"x": x + left, "y": y + top, "spectrum": [m.tobytes() for m in made]})
 
     return run

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import checkpointed
+
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the row's number in its group's run, from 1, and the range. The group is in the first column, never null."""
@@ -41,7 +43,7 @@ def in_ranges(rows: DataFrame, groups: list[str], order: list[Column]) -> DataFr
     by = [F.col("_group"), *order]
     ranges = named.repartitionByRange(n, *by).sortWithinPartitions(*by)  # a stated number, so that no range is merged afterwards
     schema = T.StructType([*ranges.schema.fields, T.StructField("_k", T.LongType()), T.StructField("_range", T.IntegerType())])
-    return ranges.mapInArrow(_counted, schema)
+    return checkpointed(ranges.mapInArrow(_counted, schema))  # Spark samples for the bounds of ranges, so a second evaluation may have others
 
 
 def positions(rows: DataFrame, groups: list[str], order: list[Column], name: str = "pos") -> DataFrame:

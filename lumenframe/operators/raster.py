@@ -122,3 +122,8 @@ BLENDS: dict[str, Callable[[Column, Column], Column]] = {
     "difference": lambda s, d: F.abs(s - d),
     "exclusion": lambda s, d: s + d - 2 * s * d,
 }
+
+
+def uppermost(layers: DataFrame, layer: str, value: str) -> DataFrame:
+    """Of the layers that cover a place, one row each: ``top``, the value of the highest, and ``shown``, how many there are."""
+    return layers.groupBy("x", "y").agg(F.max_by(value, layer).alias("top"), F.count("*").cast("int").alias("shown"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import catalogue as ops
+from ..operators import ordered
 from ..operators.grid import GridFilter, grid, grid_count, grid_ids, page_after
 from .registry import query
 
@@ -234,12 +234,13 @@ def _(v):
 
 @query("neighbours", "W7 W8", "SELECT id, coalesce(lag(id) OVER w, max(id) OVER (PARTITION BY project)) AS left_id, coalesce(lead(id) OVER w, min(id) OVER (PARTITION BY project)) AS right_id, coalesce(lag(id) OVER w, lead(id) OVER w) AS nearest FROM photos WINDOW w AS (PARTITION BY project ORDER BY id)")
 def _(v):
-    w, all_ = Window.partitionBy("project").orderBy("id"), Window.partitionBy("project")
-    before, after = F.lag("id").over(w), F.lead("id").over(w)
-    return v.photos.select("id", F.coalesce(before, F.max("id").over(all_)).alias("left_id"), F.coalesce(after, F.min("id").over(all_)).alias("right_id"), F.coalesce(before, after).alias("nearest"))
+    near = ordered.beside(v.photos.select("project", "id"), ["project"], [F.col("id")], "id")
+    ends = v.photos.groupBy("project").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    near = near.join(ends.withColumnRenamed("project", "of"), F.col("project").eqNullSafe(F.col("of")))
+    return near.select("id", F.coalesce("before", "high").alias("left_id"), F.coalesce("after", "low").alias("right_id"), F.coalesce("before", "after").alias("nearest"))
 
 
 @query("chunks", "W11", "SELECT project, chunk, min(size_bytes) AS low, max(size_bytes) AS high FROM (SELECT project, size_bytes, (row_number() OVER (PARTITION BY project ORDER BY id) - 1) // 2 AS chunk FROM photos) GROUP BY ALL")
 def _(v):
-    k = F.floor((F.row_number().over(Window.partitionBy("project").orderBy("id")) - 1) / 2)
-    return v.photos.select("project", "size_bytes", k.alias("chunk")).groupBy("project", "chunk").agg(F.min("size_bytes").alias("low"), F.max("size_bytes").alias("high"))
+    placed = ordered.positions(v.photos.select("project", "id", "size_bytes"), ["project"], [F.col("id")])
+    return placed.withColumn("chunk", F.floor((F.col("pos") - 1) / 2)).groupBy("project", "chunk").agg(F.min("size_bytes").alias("low"), F.max("size_bytes").alias("high"))

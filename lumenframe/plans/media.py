@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
-from ..operators import lookup, media as ops
+from ..operators import lookup, media as ops, ordered
 from .registry import query
 from .scalars import NOW
 
@@ -51,14 +51,14 @@ def _(v):
 
 @query("media_by_expiry", "SO9", "SELECT id, row_number() OVER (PARTITION BY bucket ORDER BY coalesce(expiry, ts) DESC, id DESC) AS pos FROM media")
 def _(v):
-    return ops.position(v.media, ["bucket"], ops.media_order("expiry", True)).select("id", "pos")
+    return ordered.positions(v.media, ["bucket"], ops.media_order("expiry", True)).select("id", "pos")
 
 
 @query("file_sort", "SO10", "SELECT id, row_number() OVER (PARTITION BY bucket ORDER BY expiry ASC NULLS FIRST, id) AS added, row_number() OVER (PARTITION BY bucket ORDER BY size DESC NULLS LAST, id DESC) AS largest, row_number() OVER (PARTITION BY bucket ORDER BY lower(label), id) AS name FROM media")
 def _(v):
     rows = v.media
     for name, order in (("added", ops.file_order("added", False)), ("largest", ops.file_order("size", True)), ("name", ops.file_order("name", False))):
-        rows = ops.position(rows, ["bucket"], order).withColumnRenamed("pos", name)
+        rows = ordered.positions(rows, ["bucket"], order, name)
     return rows.select("id", "added", "largest", "name")
 
 

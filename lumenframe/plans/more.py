@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from ..operators import blend, features, raster
 from ..operators.grid import SORTS, GridFilter, order
 from ..operators.transforms import chain, registry
 from ..sources import files
-from ..sources.shared import shared_folder
+from ..sources.shared import Workspace
 from ..streaming import reactive
 from .registry import query
 
@@ -118,10 +117,12 @@ def _(v):
 # File sources, over files written from the tables
 
 
-def _written(v, rows: DataFrame) -> str:
-    path = f"{shared_folder(v.spark)}/files-{uuid.uuid4().hex}"
-    rows.write.text(path)
-    return path
+def _read_back(v, rows: DataFrame, read, *by: str) -> DataFrame:
+    """What ``read`` makes of the text files that ``rows`` (value, and ``by`` as folders) fill; the files go, its rows stay."""
+    with Workspace(v.spark) as space:
+        path = space.path()
+        (rows.repartition(*by) if by else rows).write.partitionBy(*by).text(path)
+        return space.kept(read(f"{path}/{'/'.join(f'{c}=*' for c in by)}"))
 
 
 @query("pipe_rows", "SRC11", """
@@ -136,17 +137,15 @@ def _(v):
     kind = F.col("p_size") % 3
     line = F.when(kind == 0, four).when(kind == 1, F.concat(four, F.lit("|1|1000|1024"))).otherwise(F.concat(four, F.lit("|1|1000|1024|7|8")))
     line = F.when(F.col("p_size") % 7 != 0, line).otherwise(F.concat(F.when(kind == 0, "# ").when(kind == 1, "x|").otherwise("1|2|"), F.lit("broken")))
-    return files.pipe_table(v.spark, _written(v, part.select(line.alias("value"))))
+    return _read_back(v, part.select(line.alias("value")), lambda path: files.pipe_table(v.spark, path))
 
 
 @query("json_bodies", "SRC12", "SELECT lower(p_brand) || '-' || p_partkey AS model, least(greatest(p_size / 20.0, 0.5), 2.0)::DOUBLE AS trim_r, 1.0::DOUBLE AS trim_b FROM part")
 def _(v):
-    """Arrays of objects, one file for each task that writes them."""
+    """Arrays of objects, a file for every 500 of them."""
     one = F.struct(F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string"), F.lit(" ")).alias("model"), (F.col("p_size") / 20.0).alias("trim_r"))
-    arrays = v.table("part").groupBy((F.col("p_partkey") % 16).alias("file")).agg(F.to_json(F.collect_list(one)).alias("value"))
-    path = f"{shared_folder(v.spark)}/files-{uuid.uuid4().hex}"
-    arrays.repartition(16, "file").write.partitionBy("file").text(path)
-    return files.json_array(v.spark, f"{path}/file=*", 0.5, 2.0)
+    arrays = v.table("part").groupBy(F.floor(F.col("p_partkey") / 500).alias("file")).agg(F.to_json(F.collect_list(one)).alias("value"))
+    return _read_back(v, arrays, lambda path: files.json_array(v.spark, path, 0.5, 2.0), "file")
 
 
 @query("name_lists", "SRC13 ST2", """
@@ -154,8 +153,12 @@ def _(v):
 SELECT line, row_number() OVER (ORDER BY list, place)::INTEGER AS pos FROM (SELECT line, min(list) AS list, arg_min(place, list) AS place FROM rows GROUP BY line)""")
 def _(v):
     """A list of names and a second one behind it, with comments between them."""
-    listed = lambda t, key, name: _written(v, v.table(t).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, name))), lambda x: F.concat(F.lit("# next\n"), x[name])), "\n").alias("value")))  # noqa: E731  some ten rows
-    return files.line_lists(v.spark, listed("nation", "n_nationkey", "n_name"), listed("region", "r_regionkey", "r_name"))
+    listed = lambda t, key, name: v.table(t).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, name))), lambda x: F.concat(F.lit("# next\n"), x[name])), "\n").alias("value"))  # noqa: E731  some ten rows
+    with Workspace(v.spark) as space:
+        paths = [space.path(), space.path()]
+        for rows, path in zip((listed("nation", "n_nationkey", "n_name"), listed("region", "r_regionkey", "r_name")), paths):
+            rows.write.text(path)
+        return space.kept(files.line_lists(v.spark, *paths))
 
 
 @query("decoded_rows", "SRC7", "SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 5 <> 0")
@@ -168,12 +171,12 @@ def _(v):
 
 @query("calibration_xml", "SRC14", "SELECT CAST(p_partkey AS BIGINT) AS lens, p_brand AS maker, CAST(p_size AS DOUBLE) AS focal FROM part")
 def _(v):
-    """A folder of XML files, read by Spark's reader."""
+    """A folder of XML files of up to 500 lenses, read by Spark's reader."""
     cell = F.format_string('<lens id="%d"><maker>%s</maker><focal>%d</focal></lens>', F.col("p_partkey").cast("bigint"), "p_brand", F.col("p_size").cast("bigint"))
-    lenses = v.table("part").groupBy((F.col("p_partkey") % 16).alias("file")).agg(F.array_join(F.collect_list(cell), "").alias("all"))
-    path = f"{shared_folder(v.spark)}/files-{uuid.uuid4().hex}"
-    lenses.select("file", F.concat(F.lit("<lenses>"), "all", F.lit("</lenses>")).alias("value")).repartition(16, "file").write.partitionBy("file").text(path)
-    rows = v.spark.read.format("xml").option("rowTag", "lens").schema("_id bigint, maker string, focal double").load(f"{path}/file=*")
+    lenses = v.table("part").groupBy(F.floor(F.col("p_partkey") / 500).alias("file")).agg(F.array_join(F.collect_list(cell), "").alias("all"))
+    folder = lenses.select("file", F.concat(F.lit("<lenses>"), "all", F.lit("</lenses>")).alias("value"))
+    schema = "_id bigint, maker string, focal double"
+    rows = _read_back(v, folder, lambda path: v.spark.read.format("xml").option("rowTag", "lens").schema(schema).load(path), "file")
     return rows.select(F.col("_id").alias("lens"), "maker", "focal")
 
 

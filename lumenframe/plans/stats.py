@@ -51,10 +51,15 @@ def _(v):
     return stats.match(pick("A"), pick("R")).select("bin", F.col("out").cast("int").alias("out"))
 
 
-@query("lut_compose", "W5", ", f AS (SELECT i::INTEGER AS i, (i * 7 % 256)::INTEGER AS o FROM range(256) t(i)), g AS (SELECT i::INTEGER AS i, (255 - i)::INTEGER AS o FROM range(256) t(i)) SELECT g.i, f.o FROM g JOIN f ON f.i = g.o")
+@query("lut_compose", "W5", """
+, h AS (SELECT c.channel, b.bin::INTEGER AS bin, count(l.bin) AS n FROM (VALUES ('A'), ('R')) c(channel) CROSS JOIN range(256) b(bin) LEFT JOIN levels l ON l.channel = c.channel AND l.bin = b.bin GROUP BY ALL),
+t AS (SELECT channel, bin, floor(round(sum(n) OVER (PARTITION BY channel ORDER BY bin)::DOUBLE / sum(n) OVER (PARTITION BY channel) * 255, 9) + 0.5)::INTEGER AS o FROM h)
+SELECT g.bin AS i, f.o FROM t g JOIN t f ON f.bin = g.o WHERE g.channel = 'R' AND f.channel = 'A'""")
 def _(v):
-    i = v.spark.range(256).select(F.col("id").cast("int").alias("i"))
-    return stats.compose(i.withColumn("o", (F.col("i") * 7 % 256).cast("int")), i.withColumn("o", 255 - F.col("i")))
+    """The equalising table of one channel, and then that of another, as one table."""
+    tables = stats.cdf(stats.histogram(v.levels, ["channel"]), ["channel"])
+    of = lambda c: tables.where(F.col("channel") == c).select(F.col("bin").cast("int").alias("i"), F.floor(F.round(F.col("cdf") * 255, 9) + 0.5).cast("int").alias("o"))
+    return stats.compose(of("A"), of("R"))
 
 
 @query("threshold_shares", "AG16", "SELECT channel, round(avg(CASE WHEN bin / 255.0 > 0.80 THEN 1.0 ELSE 0 END), 9) AS bright, round(avg(CASE WHEN bin * 1.25 / 255.0 > 0.96 THEN 1.0 ELSE 0 END), 9) AS gained FROM levels GROUP BY channel")
@@ -157,11 +162,15 @@ def _(v):
     return sums.agg((F.coalesce(F.min(F.when(F.col("v") <= F.col("all") * 0.4, F.col("c") + 1)), F.lit(101)) / 100.0).alias("cut"))
 
 
-@query("mix_curve", "KN11", "SELECT i, round((-cos(least(greatest(log2(greatest(i / 64.0 - 2.0, 1.0)) + 0.5 - (log2(14.0) - 3.0), 0), 3.0) * pi() / 3.0) + 1) / 2, 9) AS mix FROM range(1024) t(i)")
+@query("mix_curve", "KN11", """
+, m AS (SELECT x, y, r, b, (-cos(least(greatest(log2(greatest((r * 4) / 64.0 - 2.0, 1.0)) + 0.5 - (log2(14.0) - 3.0), 0), 3.0) * pi() / 3.0) + 1) / 2 AS mix FROM pix)
+SELECT x, y, round(mix, 9) AS mix, round(b + (r - b) * mix, 6) AS v FROM m""")
 def _(v):
-    i = F.col("id")
+    """Two channels faded into each other by a cosine of the level of the first, in steps of four."""
+    i = F.col("r") * 4
     t = s.clamp(F.log2(F.greatest(i / 64.0 - 2.0, F.lit(1.0))) + 0.5 - (F.log2(F.lit(14.0)) - 3.0), 0.0, 3.0)
-    return v.spark.range(1024).select(i.alias("i"), F.round((1 - F.cos(t * F.pi() / 3.0)) / 2, 9).alias("mix"))
+    mix = (1 - F.cos(t * F.pi() / 3.0)) / 2
+    return v.pix.select("x", "y", F.round(mix, 9).alias("mix"), F.round(F.col("b") + (F.col("r") - F.col("b")) * mix, 6).alias("v"))
 
 
 # Raster

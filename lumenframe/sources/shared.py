@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows in the shared folder, in the partitions and the order that they have; Spark deletes them when nothing refers to them (where it is told to clean checkpoints)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 class Workspace:
     """A folder in the shared one that goes, with all in it, when the block ends; what is to outlive it is ``kept``."""
 
@@ -37,11 +45,7 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def kept(self, df: DataFrame) -> DataFrame:
-        """The rows as a checkpoint, whose files Spark deletes when nothing refers to them (where it is told to clean checkpoints)."""
-        sc = self.spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(shared_folder(self.spark))
-        return df.checkpoint()
+        return checkpointed(df)
 
     def __enter__(self) -> Workspace:
         return self

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -10,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import Workspace
 
 
 def follow(stream: DataFrame, run: Callable[[Any], DataFrame], snapshot: Callable[[], Any], out: str, every: str | None = None):
@@ -36,12 +35,12 @@ def requery_all(spark: SparkSession, sf_dir: str, tables: list[str], run: Callab
     path = lambda t: f"{sf_dir}/{t}.parquet"
     streams = [spark.readStream.schema(spark.read.parquet(path(t)).schema).parquet(path(t)[:-1] + "[t]").select(F.lit(t).alias("table")) for t in tables]
     stream = reduce(DataFrame.unionByName, streams)
-    out = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
-    q = follow(stream, run, lambda: {t: spark.read.parquet(path(t)) for t in tables}, out)
-    q.awaitTermination()
-    versions = spark.read.parquet(out)
-    latest = versions.agg(F.max("version").alias("version"))
-    return versions.join(F.broadcast(latest), "version", "left_semi").drop("version")
+    with Workspace(spark) as space:
+        out = space.path()
+        follow(stream, run, lambda: {t: spark.read.parquet(path(t)) for t in tables}, out).awaitTermination()
+        versions = spark.read.parquet(out)
+        latest = versions.agg(F.max("version").alias("version"))
+        return space.kept(versions.join(F.broadcast(latest), "version", "left_semi").drop("version"))
 
 
 def throttle_latest(events: DataFrame, key: str, ts: str, seconds: int, columns: list[str]) -> DataFrame:
