@@ -133,8 +133,9 @@ def line_classes(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataF
 def dedup_lines(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
     """``docs`` without the lines that ``line_classes`` does not keep; documents that lose all their lines are dropped.
 
-    Documents that had no line with text before are left as they are; an empty table stays empty. Columns pass through
-    unchanged, whatever their names, text excepted.
+    Documents that had no line with text before, null texts among them, are left as they are; very long lines are compared
+    whole; of equal lines the earliest stays, and rows that repeat both doc_id and text get the same decisions; an empty
+    table stays empty. Columns pass through unchanged, whatever their names, text excepted.
     """
     gone = line_classes(docs, min_near_chars).where("not kept").groupBy(F.col("doc_id").alias("of"), F.col("dkey").alias("key")).agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("dkey"))

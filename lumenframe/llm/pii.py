@@ -175,7 +175,8 @@ def joined(spans: Column) -> Column:
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``find_pii`` in the text replaced by ``<kind>``; of spans that overlap, one mark stands for all, of the first one's kind.
 
-    A null or empty text stays as it is; columns named like the spans are dropped, others pass through.
+    A null or empty text stays as it is; very long ones are masked whole; rows that repeat give equal rows; an empty table
+    stays empty. Columns named like the spans are dropped, others pass through.
     """
     docs = docs.drop("base_spans", "pii_spans")
     rows = find_pii(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "pii_spans", text_or_empty().alias("t"))

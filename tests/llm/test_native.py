@@ -103,7 +103,7 @@ CLASHES = "_gone _id _key _dkey _cdf _source _n _text _told row id of key dkey g
 
 def test_no_operator_trips_over_names(spark):
     """A table with every name that an operator uses inside keeps all its columns and values."""
-    from lumenframe.llm import media, minhash, toxicity
+    from lumenframe.llm import media, minhash, passages, substring_dedup, toxicity
 
     frame = docs(spark, ["one line here\nand a second one", "mail a@b.co now", None], [1, 2, 3]).withColumns({c: F.lit(f"v {c}") for c in CLASHES})
     labels = spark.createDataFrame([], "doc_id long, toxic int")
@@ -112,10 +112,25 @@ def test_no_operator_trips_over_names(spark):
         assert out.count() > 0 and all(r[c] == f"v {c}" for r in out.collect() for c in CLASHES)
     raw = frame.withColumn("body", F.lit(b"x").cast("binary"))
     assert all(r[c] == f"v {c}" for r in media.type_media(raw, "body", "lang").collect() for c in CLASHES)
-    for digest in (line_dedup.digest, fingerprints.digest, pii.digest, minhash.near_duplicates, media.digest):
+    for digest in (line_dedup.digest, fingerprints.digest, pii.digest, minhash.near_duplicates, media.digest, passages.digest, substring_dedup.digest):
         assert sorted(map(str, digest(frame).collect())) == sorted(map(str, digest(frame.select("doc_id", "text")).collect()))
 
 
+def test_newer_operators_beside_any_names(spark):
+    from lumenframe.llm import conversations, filter_audit, packing, url_filter
+    from lumenframe.llm.queries import tokenizer_paths
+
+    extra = {c: F.lit(f"v {c}") for c in (*CLASHES, "mask", "digest", "part", "same", "first", "stretch", "kind", "roles", "texts", "bucket", "data", "kept", "hits")}
+    beside = lambda df: df.withColumns({k: v for k, v in extra.items() if k not in df.columns})
+    same = lambda f, df: sorted(map(str, f(beside(df)).collect())) == sorted(map(str, f(df).collect()))
+    texts = docs(spark, ["one line here\nand a second one", "one line here", None], [1, 2, 3]).select("doc_id", "text", "source")
+    marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert same(lambda d: filter_audit.audit_filters(d, beside(marks)), texts)
+    assert same(lambda d: packing.pack_documents(d, *tokenizer_paths()), texts)
+    assert same(conversations.digest, spark.createDataFrame([(1, 0, "user", "Yes."), (1, 1, "tool", "no")], "conv_id long, turn long, role string, text string"))
+    assert same(url_filter.judge_pages, spark.createDataFrame([(1, "http://a.b.example.com/x", "<a href='//c.net/'>"), (2, None, None)], "page_id long, url string, html string"))
+
+
 def brute_simhash(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     votes = [0] * 64
