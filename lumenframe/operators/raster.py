@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import Workspace
 from .lookup import _small
 
 
@@ -88,20 +90,49 @@ def equalise_tiles(pixels: DataFrame, value: str, tile: int, clip: float) -> Dat
     return cut.join(table, ["tx", "ty", "bin"]).select("x", "y", "out")
 
 
-def largest_component(mask: DataFrame, width: int, rounds: int = 4096) -> DataFrame:
+def _labelled(cells: pd.DataFrame) -> pd.DataFrame:
+    """Each cell of one tile with the first node, in reading order, of its set within the tile."""
+    cells = cells.sort_values("node", kind="stable")
+    x, y, node = cells["x"].tolist(), cells["y"].tolist(), cells["node"].tolist()
+    at = dict(zip(zip(x, y), node))
+    up = {n: n for n in node}
+
+    def root(n: int) -> int:
+        while up[n] != n:
+            up[n] = n = up[up[n]]
+        return n
+
+    for i, j, n in zip(x, y, node):
+        for near in ((i - 1, j), (i, j - 1)):
+            if near in at:
+                a, b = root(n), root(at[near])
+                up[max(a, b)] = min(a, b)
+    return cells[["node", "x", "y"]].assign(label=[root(n) for n in node])
+
+
+def largest_component(mask: DataFrame, width: int, rounds: int = 60, tile: int = 128) -> DataFrame:
     """Label, size and bounding box of the largest 4-connected set of (x, y); of equally large ones the first in reading order.
 
-    Labels spread as minima and jump to the label of their label, until nothing changes; a spill folder cuts the lineage.
+    Sets are labelled in each tile first. Labels that touch across the sides of tiles are the nodes of a graph, whose
+    components join them; so a long way through the picture costs rounds by its tiles, not by its cells.
     """
     from .components import min_labels
 
-    cells = mask.select((F.col("y") * width + F.col("x")).alias("node"), "x", "y")
-    right = cells.select("node", (F.col("node") + 1).alias("other")).where((F.col("node") % width) != width - 1)
-    down = cells.select("node", (F.col("node") + width).alias("other"))
-    edges = right.unionByName(down).join(cells.select(F.col("node").alias("other")), "other", "left_semi")
-    labels = min_labels(cells.select("node"), edges, rounds)
-    sizes = cells.join(labels, "node").groupBy("label").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return sizes.orderBy(F.desc("n"), "label").limit(1)
+    cells = mask.select((F.col("y") * width + F.col("x")).cast("long").alias("node"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    kinds = dict(mask.select("x", "y", (F.col("y") * width + F.col("x")).alias("label")).dtypes)
+    with Workspace(mask.sparkSession) as space:
+        parts = space.written(tiles(cells, tile, tile).groupBy("tx", "ty").applyInPandas(_labelled, "node long, x long, y long, label long"))
+        right = parts.where((F.col("x") % tile == tile - 1) & (F.col("x") != width - 1)).select((F.col("node") + 1).alias("to"), "label")
+        down = parts.where(F.col("y") % tile == tile - 1).select((F.col("node") + width).alias("to"), "label")
+        firsts = parts.where((F.col("x") % tile == 0) | (F.col("y") % tile == 0)).select(F.col("node").alias("to"), F.col("label").alias("other"))
+        links = space.written(right.unionByName(down).join(firsts, "to").select(F.col("label").alias("node"), "other").distinct())
+        met = min_labels(links.select("node").unionByName(links.select(F.col("other").alias("node"))).distinct(), links, rounds)
+        box = [f(c).alias(a) for a, f, c in (("x0", F.min, "x0"), ("x1", F.max, "x1"), ("y0", F.min, "y0"), ("y1", F.max, "y1"))]
+        pieces = parts.groupBy("label").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        joined = pieces.withColumnRenamed("label", "node").join(met, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        sizes = joined.groupBy("label").agg(F.sum("n").alias("n"), *box)
+        best = sizes.orderBy(F.desc("n"), "label").limit(1)
+        return space.kept(best.select(F.col("label").cast(kinds["label"]), "n", *[F.col(c).cast(kinds[c[0]]).alias(c) for c in ("x0", "x1", "y0", "y1")]))
 
 
 #: Separable blend modes of a source s over a destination d, both in 0..1, by their published formulas.

@@ -33,7 +33,7 @@ class Workspace:
     """A folder in the shared one that goes, with all in it, when the block ends; what is to outlive it is ``kept``."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.top, self.count = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", 0
+        self.spark, self.top, self.count, self.paths = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", 0, {}
 
     def path(self) -> str:
         self.count += 1
@@ -42,7 +42,14 @@ class Workspace:
     def written(self, df: DataFrame) -> DataFrame:
         path = self.path()
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that were ``written`` before the block ends."""
+        for t in tables:
+            self._delete(self.paths.pop(id(t))[0])
 
     def kept(self, df: DataFrame) -> DataFrame:
         return checkpointed(df)
@@ -51,5 +58,8 @@ class Workspace:
         return self
 
     def __exit__(self, *_: object) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        self._delete(self.top)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from lumenframe import plans
 from lumenframe.functions import geometry
 from lumenframe.functions.difference import removals
+from lumenframe.operators import raster
 from lumenframe.operators.components import min_labels
 from lumenframe.operators.transforms import IDENTITY, chain
+from lumenframe.sources.shared import Workspace
 
 
 def common(a, b):
@@ -54,6 +56,49 @@ def test_labels_settle_or_fail(spark):
         min_labels(nodes, edges, 2)
 
 
+def _sets(cells, width):
+    """Label, size and box of the largest set, by flooding."""
+    left, best = set(cells), None
+    for c in sorted(cells, key=lambda c: c[1] * width + c[0]):
+        if c in left:
+            left.discard(c)
+            found = [c]
+            for x, y in found:
+                for near in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)):
+                    if near in left:
+                        left.discard(near)
+                        found.append(near)
+            xs, ys = zip(*found)
+            if best is None or len(found) > best[1]:
+                best = (c[1] * width + c[0], len(found), min(xs), max(xs), min(ys), max(ys))
+    return best
+
+
+def test_long_way_through_tiles(spark):
+    """A way that winds through hundreds of tiles, and sets of chance; few rounds of labels do."""
+    winding = [(x, y) for y in range(64) for x in range(32) if y % 2 == 0 or x == (31 if y % 4 == 1 else 0)]
+    for seed, cells in [(0, winding), *[(k, [(x, y) for y in range(100) for x in range(32) if random.Random(k * 10_000 + y * 32 + x).random() < 0.6]) for k in (1, 2)]]:
+        mask = spark.createDataFrame(cells, "x int, y int")
+        got = raster.largest_component(mask, 32, rounds=12, tile=4)
+        assert [tuple(r) for r in got.collect()] == [_sets(cells, 32)] and got.schema["label"].dataType.simpleString() == "int", seed
+    assert raster.largest_component(mask.limit(0), 32).count() == 0
+
+
+def test_sizes_do_not_multiply(spark, monkeypatch):
+    """A round's table has the size of its files; as a product of the rounds before, it grew until it filled the driver."""
+    sizes = []
+
+    def written(space, df, write=Workspace.written):
+        out = write(space, df)
+        sizes.append(int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return out
+
+    monkeypatch.setattr(Workspace, "written", written)
+    edges = spark.range(300).select(F.col("id").alias("node"), ((F.col("id") * 7919 + 1) % 300).alias("other"))
+    labels = min_labels(spark.range(301).select(F.col("id").alias("node")), edges, 60)
+    assert len(sizes) > 4 and max(sizes) < 1 << 20 and labels.select("label").distinct().count() >= 2
+
+
 def test_empty_chain_and_lines(spark):
     rows = spark.range(3)
     assert chain([])(rows).collect() == rows.collect() and chain([]).key == IDENTITY.key
