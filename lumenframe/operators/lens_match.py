@@ -32,17 +32,18 @@ def _sides(asked: DataFrame, lenses: DataFrame) -> tuple[DataFrame, DataFrame]:
 def candidates(asked: DataFrame, lenses: DataFrame) -> DataFrame:
     """(ask_id, lens_id), each pair once: those of which one's tokens, or numbers, may all be among the other's."""
     listed = lambda df, key: df.select(key, F.explode("set").alias("token"))
+    # Each join is of tables that grow with the lenses: their shuffled bytes may look small, and the driver fills if it gathers them for a broadcast.
     asks, held = listed(asked, "ask_id"), listed(lenses, "lens_id")
     often = held.groupBy("token").agg(F.count("*").alias("n"))
 
     def rarest(df: DataFrame, key: str) -> DataFrame:
-        counted = df.join(often, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        counted = df.join(often.hint("merge"), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         least = F.min(F.struct("n", "token"))
         number = F.min(F.when(F.col("token").rlike(NUMERIC), F.struct("n", "token")))
         keys = counted.groupBy(key).agg(F.array(least, number).alias("keys"))
         return keys.select(key, F.explode(F.array_distinct("keys")).alias("k")).where("k is not null").select(key, "k.token")
 
-    met = rarest(asks, "ask_id").join(held, "token").unionByName(asks.join(rarest(held, "lens_id"), "token"))
+    met = rarest(asks, "ask_id").join(held.hint("merge"), "token").unionByName(asks.join(rarest(held, "lens_id").hint("merge"), "token"))
     return met.select("ask_id", "lens_id").distinct()
 
 
@@ -96,7 +97,7 @@ def rank_lenses(asked: DataFrame, lenses: DataFrame, most: int, adapted: bool =
     """
     asked, lenses = _sides(asked, lenses)
     pairs = candidates(asked, lenses)
-    met = pairs.join(asked.select("ask_id", F.struct(*asked.columns).alias("a")), "ask_id").join(lenses.select("lens_id", F.struct(*lenses.columns).alias("l")), "lens_id")
+    met = pairs.join(asked.select("ask_id", F.struct(*asked.columns).alias("a")).hint("merge"), "ask_id").join(lenses.select("lens_id", F.struct(*lenses.columns).alias("l")).hint("merge"), "lens_id")
     scored = met.select("ask_id", "lens_id", *[c.cast("int").alias(n) for n, c in criteria(adapted).items()], ((F.size("a.numbers") > 0) & _within(F.col("a.numbers"), F.col("l.numbers"))).alias("numbers"))
     total = F.lit(0).cast("long")
     for name, values in CRITERIA.items():

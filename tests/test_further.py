@@ -128,6 +128,16 @@ def test_lens_candidates_share_a_token(spark):
     assert adapted.mount == 0 and adapted.lens_id == 10
 
 
+def test_lenses_are_not_broadcast(spark):
+    """The driver gathers none of the tables that grow with the lenses, however small they are."""
+    asked = spark.range(50).selectExpr("id as ask_id", "concat('alpha ', id, 'mm') as text", "'m' as maker", "'m' as body_maker", "1.0D as crop", "1 as mount", "50.0D as focal", "2.0D as aperture")
+    lenses = asked.selectExpr("ask_id as lens_id", "text as model", "maker", "crop", "mount", "focal as focal_low", "focal as focal_high", "aperture")
+    got = lens_match.rank_lenses(asked, lenses, 1)
+    assert [(r.ask_id, r.lens_id) for r in got.orderBy("ask_id").collect()] == [(k, k) for k in range(50)]
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_walk_level_by_level(spark):
     rows = [(1, 0, True, 5), (2, 0, False, 9), (3, 1, False, 7), (4, 1, True, 1), (5, 4, False, 8), (1, 4, True, 5), (6, 99, False, 3), (7, None, False, 2)]
     entries = spark.createDataFrame(rows, "id int, parent int, is_dir boolean, modified int")
