@@ -344,5 +344,18 @@ def develop_settings(text: Column | str) -> Column:
     unit = lambda k: F.coalesce(*[F.when(k == name, u) for name, u in SETTING_UNITS.items()], F.when(k.rlike(f"^({'|'.join(HSL_KINDS)})."), 100.0))
     read = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r'([\w.]+)\s*=', 1).alias("k"), F.regexp_extract(p, r'"\s*([-+]?[0-9]*\.?[0-9]+)', 1).try_cast("double").alias("v")))
     known = F.filter(F.transform(read, lambda x: F.struct(x["k"].alias("k"), (x["v"] / unit(x["k"])).alias("v"))), lambda x: x["v"].isNotNull())
-    last = F.filter(known, lambda x, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda y: y["k"] == x["k"]))
+    # A fold reads ``known`` once; a filter that compares it with itself would make it anew, matches and all, for each pair.
+    last = F.aggregate(known, F.array().cast("array<struct<k:string,v:double>>"), lambda kept, x: F.concat(F.filter(kept, lambda y: y["k"] != x["k"]), F.array(x)))
     return F.map_from_entries(last)
+
+
+#: No XML document can hold this character, so it parts values without being in one.
+_PART = "\u0001"
+
+
+def xpath_values(xml: Column, expressions: dict[str, str]) -> dict[str, Column]:
+    """The values, as strings, of several XPath expressions by their names; the document is parsed once, not once for each."""
+    parts = f", '{_PART}', ".join(f"string({e})" for e in expressions.values())
+    whole = f"concat({parts}, '')"
+    values = F.split(F.xpath_string(xml, F.lit(whole)), _PART, -1)
+    return {name: F.element_at(values, k + 1) for k, name in enumerate(expressions)}

@@ -12,7 +12,7 @@ from ..operators import blend, features, raster
 from ..operators.grid import SORTS, GridFilter, order
 from ..operators.transforms import chain, registry
 from ..sources import files
-from ..sources.shared import Workspace
+from ..sources.shared import Workspace, spread
 from ..streaming import reactive
 from .registry import query
 
@@ -339,12 +339,12 @@ def _(v):
     """Documents whose shape differs from row to row: axes, node sets, strings and truth values."""
     brand = F.col("p_brand")
     x = F.concat(F.lit("<r><a t='"), brand, F.lit("'/>"), F.when(F.col("p_size") % 2 == 0, "<b/>").otherwise("<c/><b/>"), F.lit("<d/></r>"))
-    text, truth, number = (lambda e: F.xpath_string(x, F.lit(e))), (lambda e: F.xpath_boolean(x, F.lit(e))), (lambda e: F.xpath_int(x, F.lit(e)))
-    return v.table("part").select(
-        "p_partkey", text("local-name(/r/a/following-sibling::*[1])").alias("next"), text("name(/r/*[last()])").alias("last"), number("count(/r/d/preceding-sibling::*)").alias("before"),
-        text("name(//b/ancestor::*[1])").alias("top"), truth("not(boolean(/r/c))").alias("plain"), number("string-length(/r/a/@t)").alias("chars"), text("substring(/r/a/@t, 1, 5)").alias("head"),
-        truth("starts-with(normalize-space(concat(' ', /r/a/@t)), 'Brand#1')").alias("first_brands"),
-    )
+    of = {
+        "next": "local-name(/r/a/following-sibling::*[1])", "last": "name(/r/*[last()])", "before": "count(/r/d/preceding-sibling::*)", "top": "name(//b/ancestor::*[1])", "plain": "not(boolean(/r/c))",
+        "chars": "string-length(/r/a/@t)", "head": "substring(/r/a/@t, 1, 5)", "first_brands": "starts-with(normalize-space(concat(' ', /r/a/@t)), 'Brand#1')",
+    }
+    kinds = {"before": "int", "plain": "boolean", "chars": "int", "first_brands": "boolean"}
+    return spread(v.table("part"), "p_partkey").select("p_partkey", *[c.cast(kinds.get(name, "string")).alias(name) for name, c in s.xpath_values(x, of).items()])
 
 
 # Streams

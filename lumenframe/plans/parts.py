@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as s
 from ..operators import raster, stats
 from ..operators.descriptors import MediaQuery
+from ..sources.shared import spread
 from .registry import query
 
 CODES = "CASE id % 10 WHEN 0 THEN 129 WHEN 1 THEN 130 WHEN 2 THEN 131 WHEN 3 THEN 132 WHEN 4 THEN 133 WHEN 5 THEN 134 WHEN 6 THEN 33 WHEN 7 THEN 0 WHEN 8 THEN 77 END"
@@ -44,7 +45,7 @@ def _(v):
         F.when(F.col("p_size") % 2 == 0, F.concat(text(' Contrast2012="'), size, text('"'))).otherwise(""), text(' Unknown="1"/>'),
     )
     m = F.col("m")
-    return v.table("part").select("p_partkey", s.develop_settings(xml).alias("m")).select("p_partkey", m["Exposure2012"].alias("exposure"), m["Contrast2012"].alias("contrast"), m["HueAdjustmentRed"].alias("hue_red"), m["Shadows2012"].alias("shadows"), F.size("m").alias("n"))
+    return spread(v.table("part"), "p_partkey").select("p_partkey", s.develop_settings(xml).alias("m")).select("p_partkey", m["Exposure2012"].alias("exposure"), m["Contrast2012"].alias("contrast"), m["HueAdjustmentRed"].alias("hue_red"), m["Shadows2012"].alias("shadows"), F.size("m").alias("n"))
 
 
 SHELF = ["Brand#7", "Brand#3", "Brand#12", "Brand#1"]
@@ -124,8 +125,5 @@ SELECT p_partkey, p_size % 3 AS below, 1 + p_size % 3 + (p_size % 2) AS behind,
 def _(v):
     """Descendants, and what follows and precedes in the document, of a node whose surroundings differ from row to row."""
     x = F.concat(F.lit("<r><p><q/></p><a/>"), F.when(F.col("p_size") % 3 == 0, "<m/>").when(F.col("p_size") % 3 == 1, "<m><b/></m>").otherwise("<m><b/><b/></m>"), F.when(F.col("p_size") % 2 == 1, "<c/>").otherwise(""), F.lit("<c/></r>"))
-    number = lambda e: F.xpath_int(x, F.lit(e))
-    return v.table("part").select(
-        "p_partkey", number("count(/r/m/descendant::*)").alias("below"), number("count(/r/a/following::*) - 1").alias("behind"), number("count(/r/a/preceding::*)").alias("ahead"),
-        F.xpath_string(x, F.lit("name(/r/a/following::*[2])")).alias("first_behind"),
-    )
+    of = {"below": "count(/r/m/descendant::*)", "behind": "count(/r/a/following::*) - 1", "ahead": "count(/r/a/preceding::*)", "first_behind": "name(/r/a/following::*[2])"}
+    return spread(v.table("part"), "p_partkey").select("p_partkey", *[c.cast("string" if name == "first_behind" else "int").alias(name) for name, c in s.xpath_values(x, of).items()])

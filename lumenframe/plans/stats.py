@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as s
 from ..operators import raster, stats
+from ..sources.shared import spread
 from ..streaming import reactive
 from .registry import query
 
@@ -252,21 +253,20 @@ def _(v):
 
 @query("xpath", "XP1 XP2 XP3 XP4 XP5 XP6", "SELECT p_partkey, p_name AS name, (p_size + 1.0)::DOUBLE AS total, p_size > 10 AS big, 2 AS n, upper(p_brand) AS brand, floor(p_size / 2.0)::DOUBLE AS half FROM part WHERE regexp_matches(p_name || p_brand, '^[A-Za-z0-9 #]*$')")
 def _(v):
-    rows = v.table("part").where(F.concat("p_name", "p_brand").rlike("^[A-Za-z0-9 #]*$"))
+    rows = spread(v.table("part"), "p_partkey").where(F.concat("p_name", "p_brand").rlike("^[A-Za-z0-9 #]*$"))
     doc = F.concat(F.lit("<p brand='"), F.col("p_brand"), F.lit("'><n>"), F.col("p_name"), F.lit("</n><s>"), F.col("p_size").cast("string"), F.lit("</s><s>1</s></p>"))
-    x = rows.select("p_partkey", doc.alias("x"))
     low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return x.select(
-        "p_partkey", F.xpath_string("x", F.lit("p/n")).alias("name"), F.xpath_double("x", F.lit("sum(p/s)")).alias("total"), F.xpath_boolean("x", F.lit("p/s[position() = 1] > 10")).alias("big"),
-        F.xpath_int("x", F.lit("count(p/s)")).alias("n"), F.xpath_string("x", F.lit(f"translate(p/@brand, '{low}', '{up}')")).alias("brand"), F.xpath_double("x", F.lit("floor(p/s[1] div 2)")).alias("half"),
-    )
+    x = s.xpath_values(doc, {"name": "p/n", "total": "sum(p/s)", "big": "boolean(p/s[position() = 1] > 10)", "n": "count(p/s)", "brand": f"translate(p/@brand, '{low}', '{up}')", "half": "floor(p/s[1] div 2)"})
+    kinds = {"total": "double", "big": "boolean", "n": "int", "half": "double"}
+    return rows.select("p_partkey", *[c.cast(kinds.get(name, "string")).alias(name) for name, c in x.items()])
 
 
 @query("xpath_axes", "XP7", "SELECT id, 'c' AS following, 'a' AS preceding, 'r' AS ancestor, 'b' AS self FROM photos")
 def _(v):
     x = F.concat(F.lit("<r><a/><b id='"), F.col("id").cast("string"), F.lit("'/><c/></r>"))
-    name = lambda axis: F.xpath_string(x, F.lit(f"name(//b/{axis})"))
-    return v.photos.select("id", name("following-sibling::*[1]").alias("following"), name("preceding-sibling::*[1]").alias("preceding"), name("ancestor::*[1]").alias("ancestor"), name("self::*").alias("self"))
+    axes = {"following": "following-sibling::*[1]", "preceding": "preceding-sibling::*[1]", "ancestor": "ancestor::*[1]", "self": "self::*"}
+    names = s.xpath_values(x, {k: f"name(//b/{axis})" for k, axis in axes.items()})
+    return spread(v.photos.select("id"), "id").select("id", *[c.alias(k) for k, c in names.items()])
 
 
 @query("keyed_properties", "KN12", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS k FROM events")

@@ -21,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all cores by a key: a file of one row group is read by one task, too few where a row costs much work."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows in the shared folder, in the partitions and the order that they have; Spark deletes them when nothing refers to them (where it is told to clean checkpoints)."""
     sc = df.sparkSession.sparkContext

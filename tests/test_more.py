@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumenframe import plans
 from lumenframe.functions import geometry
+from lumenframe.functions import scalar as s
 from lumenframe.functions.difference import removals
 from lumenframe.operators import raster
 from lumenframe.operators.components import min_labels
@@ -99,6 +101,24 @@ def test_sizes_do_not_multiply(spark, monkeypatch):
     assert len(sizes) > 4 and max(sizes) < 1 << 20 and labels.select("label").distinct().count() >= 2
 
 
+@pytest.mark.parametrize("name", ["xpath", "xpath_documents", "xpath_ways", "xpath_axes"])
+def test_documents_are_parsed_once(spark, sf_dir, name):
+    """One XPath expression, which Spark evaluates once a row, by all cores, however few row groups the file has."""
+    df = plans.QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(set(re.findall(r"XPath\w+Evaluator\(.*?\)\.evaluate", plan))) == 1
+    assert df.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_settings_are_matched_once(spark, sf_dir):
+    df = plans.QUERIES["develop_settings"](spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert df.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    text = 'a:Exposure2012="5" Whites2012="1" b:Exposure2012="10" Whites2012="x" HueAdjustmentRed="50"'
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(s.develop_settings("t").alias("m")).collect()
+    assert [r.m for r in got] == [{"Whites2012": 0.01, "Exposure2012": 2.0, "HueAdjustmentRed": 0.5}, {}, None]
+
+
 def test_empty_chain_and_lines(spark):
     rows = spark.range(3)
     assert chain([])(rows).collect() == rows.collect() and chain([]).key == IDENTITY.key
