@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyarrow import fs
@@ -150,31 +152,31 @@ def _(v):
     return aged_cache.cached_calls(_calls(v), ["user_id", "event_type"], "at", AGE, "event_id")
 
 
-def _streamed(v, space: Workspace, rows: DataFrame, order: str, batches: int) -> DataFrame:
-    """A stream of ``rows`` in so many batches, one file each, by ``order`` (0 .. batches - 1)."""
-    path = space.path()
+def _sunk(v, space: Workspace, rows: DataFrame, order: str, batches: int, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of ``rows`` gives that come in so many batches, by ``order`` (0 .. batches - 1); each is handled when it is there, whatever the number of its files."""
+    path, out, state = space.path(), space.path(), space.path()
     for k in range(batches):
-        rows.where(F.col(order) == k).drop(order).coalesce(1).write.mode("append").parquet(path)
-    return v.spark.readStream.schema(rows.drop(order).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(F.col(order) == k).drop(order).write.mode("append").parquet(path)
+        stream = run(v.spark.readStream.schema(rows.drop(order).schema).parquet(path))
+        with stateful.keyed_state(v.spark):
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return space.kept(v.spark.read.schema(stream.schema).parquet(out))
 
 
-def _sunk(v, space: Workspace, stream: DataFrame) -> DataFrame:
-    """What the stream gives until its source has no more."""
-    out = space.path()
-    with stateful.keyed_state(v.spark):
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", space.path()).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-    return space.kept(v.spark.read.schema(stream.schema).parquet(out))
+def _buckets(rows: DataFrame) -> int:
+    """So many that a bucket has some 20,000 rows at most, wherever keys are many."""
+    return 64 + rows.count() // 20_000
 
 
 @query("cached_stream", "RX8", _CALLS.replace("SELECT event_id, user_id, event_type, \"at\", NOT", "SELECT event_id AS id, concat(user_id, '/', event_type) AS key, \"at\", NOT"))
 def _(v):
     """The same, as a stream in three batches that keeps one number for each key."""
     calls = _calls(v).select(F.concat_ws("/", "user_id", "event_type").alias("key"), F.col("event_id").alias("id"), "at")
+    buckets = _buckets(calls)
     ends = calls.agg(F.min("at").alias("a"), F.max("at").alias("b"))  # one row
     parted = calls.crossJoin(F.broadcast(ends)).withColumn("part", F.floor((F.col("at") - F.col("a")) * 3 / (F.col("b") - F.col("a") + 1))).drop("a", "b")
     with Workspace(v.spark) as space:
-        return _sunk(v, space, stateful.cached_stream(_streamed(v, space, parted, "part", 3), AGE))
+        return _sunk(v, space, parted, "part", 3, lambda stream: stateful.cached_stream(stream, AGE, buckets))
 
 
 _OBSERVED = """
@@ -196,12 +198,13 @@ def _observed(v) -> tuple[DataFrame, DataFrame]:
 def _(v):
     """Volumes with the state that they have at the start, then their changes, an hour's conflated, in three batches."""
     changes, at_start = _observed(v)
+    buckets = _buckets(changes)
     slot = F.floor(F.col("at") / 3600)
     ends = changes.agg(F.min(slot).alias("a"), F.max(slot).alias("b"))  # one row
     parted = changes.crossJoin(F.broadcast(ends)).withColumn("part", F.floor((slot - F.col("a")) * 3 / (F.col("b") - F.col("a") + 1))).drop("a", "b")
     parted = parted.unionByName(stateful.asking(at_start).withColumn("part", F.lit(0).cast("long")))
     with Workspace(v.spark) as space:
-        return _sunk(v, space, stateful.observed(_streamed(v, space, parted, "part", 3), at_start, 3600))
+        return _sunk(v, space, parted, "part", 3, lambda stream: stateful.observed(stream, at_start, 3600, buckets))
 
 
 @query("observed_table", "RX3 RX7", _OBSERVED)

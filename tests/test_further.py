@@ -198,6 +198,27 @@ def test_a_stale_run_is_cancelled(spark, tmp_path):
     assert threading.active_count() < 50
 
 
+def test_one_state_for_many_keys(spark, tmp_path):
+    """300 keys in 4 buckets, in two batches: 4 states, and each call as if its key were alone."""
+    rng = random.Random(9)
+    calls = [(f"k{rng.randrange(300)}", k, k * 10) for k in range(1500)]
+    schema = "key string, id long, at long"
+    for part in (calls[:900], calls[900:]):
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stateful.cached_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 3000, buckets=4)
+        with stateful.keyed_state(spark):
+            q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    got = {r.id: (r.key, r.hit, r.created_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    created, want = {}, {}
+    for key, k, at in calls:
+        hit = key in created and created[key] + 3000 > at
+        created[key] = created[key] if hit else at
+        want[k] = (key, hit, created[key])
+    assert got == want
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
 def test_state_at_hand_first(spark, tmp_path):
     """Three batches: keys tell what they had at the start, then changes, those of one slot once, and no change twice."""
     path, schema = str(tmp_path / "in"), "key string, id long, at long, state string"
